@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "quality", "sharding")
+MODULES = ("simhash", "toxicity", "urls", "quality", "sharding")
 
 
 def queries() -> dict:
