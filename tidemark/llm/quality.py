@@ -82,10 +82,14 @@ def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns(cells).withColumns({"n_words": F.col("_both.n"), "n_repeat_words": F.col("_both.r")}).drop("_both")
 
 
-def in_order(docs: DataFrame, rules: list[tuple[str, Column]], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, Column]]:
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(mixed.bitwiseAND(F.lit(15)) == 0).limit(rows)
+
+
+def in_order(sample: DataFrame, rules: list[tuple[str, Column]]) -> list[tuple[str, Column]]:
     """The rules by rejections per second on a sample, best first."""
-    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.lit(0)
-    sample = docs.where(mixed.bitwiseAND(F.lit(15)) == 0).limit(sample_rows).persist()
+    sample = sample.persist()
     try:
         n, worth = sample.count(), []
         for k, (_, rejects) in enumerate(rules if n else []):
@@ -97,10 +101,11 @@ def in_order(docs: DataFrame, rules: list[tuple[str, Column]], sample_rows: int
     return [rules[k] for _, k in sorted(worth)] if worth else rules
 
 
-def cascade(docs: DataFrame, rules: list[tuple[str, Column]], out: str = "kept", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with the boolean out: true if no rule (name, condition that rejects) holds."""
+def cascade(docs: DataFrame, rules: list[tuple[str, Column]], out: str = "kept", sample: DataFrame | None = None) -> DataFrame:
+    """docs with the boolean out: true if no rule (name, condition that rejects) holds. sample: rows
+    with the columns that the rules read; by default some of docs."""
     verdict = None
-    for _, rejects in in_order(docs, rules, sample_rows):
+    for _, rejects in in_order(sample_of(docs) if sample is None else sample, rules):
         verdict = F.when(rejects, False) if verdict is None else verdict.when(rejects, False)
     return docs.withColumn(out, F.lit(True) if verdict is None else verdict.otherwise(True))
 
@@ -116,10 +121,11 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    source = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, sample = base_columns(source), base_columns(sample_of(source))
     own = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     features = text_features(F.col("text")) | own
-    judged = cascade(docs, bound(BASE + MORE, features))
+    judged = cascade(docs, bound(BASE + MORE, features), sample=sample)
     failed = F.lit(False)
     for _, rejects in bound(BASE, features):
         failed = failed | rejects
