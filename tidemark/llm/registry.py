@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "urls", "quality", "sharding", "chat")
+MODULES = ("simhash", "toxicity", "urls", "quality", "sharding", "chat", "langid")
 
 
 def queries() -> dict:
