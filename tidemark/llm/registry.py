@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "pieces", "urls", "quality", "sharding", "chat", "langid")
+MODULES = ("simhash", "toxicity", "pieces", "urls", "quality", "sharding", "chat", "tokenfile", "langid")
 
 
 def queries() -> dict:
