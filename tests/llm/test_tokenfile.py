@@ -26,7 +26,9 @@ def test_encoder_equals_the_library(monkeypatch):
     parts = ["the", " the", "'s", "'ll ", "\n", "  ", " \t", "12", "_", "__ a", "é", "ß", "²", "½", "\x1c", "\x85", "\xa0", "日本", "Ⅷ", "😀", "<|endoftext|>", "!?", "’s", "…"]
     for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        assert e.encode(t).tolist() == [*MODEL.encode(t, add_special_tokens=False).ids, 0], repr(t)
+        assert e.encode([t])[0].tolist() == [*MODEL.encode(t, add_special_tokens=False).ids, 0], repr(t)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]
+    assert [x.tolist() for x in e.encode(texts)] == [[*MODEL.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 @pytest.mark.parametrize("terminals", [4, 70_000])

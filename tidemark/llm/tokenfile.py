@@ -3,7 +3,8 @@
 Documents are dealt to ranges of ascending doc_id and sorted; each task encodes its range as a stream
 and closes a shard when SHARD_TOKENS ids have gathered. In a shard frequent pairs of neighbouring
 symbols are replaced by nonterminals, round after round, most frequent first (equal counts by pair),
-from left to right where occurrences overlap, until no pair is frequent or the symbols are used up.
+from left to right where occurrences overlap, until no pair is frequent, the symbols are used up or a
+round saves less than GAIN of the symbols.
 Pairs never cross the end of a document.
 
 File format. Shards are rows of a Parquet table in the shared folder (part, seq, n_docs, n_tokens,
@@ -28,7 +29,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,17 +42,22 @@ from tidemark.llm.common import shared_folder, table
 END = 0
 SHARD_TOKENS = 2_000_000
 #: Rules of a round at most, and occurrences that make a pair frequent.
-ROUND_RULES, FREQUENT = 5_000, 16
+ROUND_RULES, FREQUENT, GAIN = 5_000, 16, 0.01
 MAGIC = b"TKRP1\0"
 NO_ID = -(1 << 63)
-KEEP = 500_000
+KEEP = 1_000_000
+#: Texts that are encoded together.
+BATCH = 64
 
 #: The byte-level pre-tokenizer's pattern, and the same for texts of the characters of PLAIN alone,
 #: where Python's own classes agree with Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ–—‘’“”„«»…€]*")
-ONE_LINE = re.compile(r" ?\S+")
+#: Byte-level characters: printable bytes stand for themselves, the others for those from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+LINE_END = chr(BYTE_LEVEL[10])
 
 
 def model_path() -> str:
@@ -66,57 +71,60 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model = Tokenizer.from_file(path)
+        self.model, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.line_end = self.lines.token_to_id(LINE_END)
         self.pattern = regex.compile(PATTERN)
         self.vocabulary = self.model.get_vocab_size()
-        self.kind = "H" if self.vocabulary <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.line = self.model.encode("\n", add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of new pre-tokens: those without line ends go through the library as lines of one text."""
-        if len(self.kept) + len(new) > KEEP:
+    def learn(self, new: set[str]) -> None:
+        """Ids of new pre-tokens: in one call of the library, as lines of byte-level characters
+        with line ends between them (those that hold line ends one by one)."""
+        words = [w for w in new if "\n" not in w]
+        lines = f"\n{LINE_END}\n".join([w.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LEVEL) for w in words])
+        ids = np.array(self.lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
+        between = np.flatnonzero(ids == self.line_end).tolist() if words else []
+        if len(between) != len(words) - 1:  # the model has no id of its own for line ends
+            words = []
+        width, found = self.dtype.itemsize, ids.tobytes()
+        for word, before, end in zip(words, [-1, *between], [*between, len(ids)], strict=False):
+            self.kept[word] = found[(before + 1) * width : end * width]
+        for word in new.difference(words):
+            self.kept[word] = np.array(self.model.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, END included."""
+        texts = [t or "" for t in texts]
+        whole = [any(x in t for x in self.special) for t in texts]
+        tokens = [[] if w else (PLAIN_PATTERN if PLAIN.fullmatch(t) else self.pattern).findall(t) for t, w in zip(texts, whole, strict=True)]
+        new = set().union(*tokens).difference(self.kept)
+        if new and len(self.kept) + len(new) > KEEP:
             self.kept.clear()
-        lines = [w for w in new if ONE_LINE.fullmatch(w)]
-        ids = self.model.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids if len(self.line) == 1 else []
-        at = 0
-        found = []
-        for k, i in enumerate(ids):
-            if i == self.line[0]:
-                found.append(ids[at:k])
-                at = k + 1
-        found.append(ids[at:])
-        if len(found) != len(lines):  # the model's line end isn't one id of its own
-            lines, found = [], []
-        for w, x in zip(lines, found, strict=True):
-            self.kept[w] = array(self.kind, x).tobytes()
-        for w in new:
-            if w not in self.kept:
-                self.kept[w] = array(self.kind, self.model.encode(w, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of the text, END included."""
-        text = text or ""
-        if any(t in text for t in self.special):
-            return np.array([*self.model.encode(text, add_special_tokens=False).ids, END], np.uint32)
-        tokens = (PLAIN_PATTERN if PLAIN.fullmatch(text) else self.pattern).findall(text)
-        try:
-            out = b"".join(map(self.kept.__getitem__, tokens))
-        except KeyError:
-            own = set(tokens)
-            new = [w for w in own if w not in self.kept]
+            new = set().union(*tokens)
+        if new:
             self.learn(new)
-            if len(self.kept) < len(own):  # the store was emptied meanwhile
-                self.learn([w for w in own if w not in self.kept])
-            out = b"".join(map(self.kept.__getitem__, tokens))
-        ids = np.empty(len(out) // array(self.kind).itemsize + 1, np.uint32)
-        ids[:-1] = np.frombuffer(out, np.uint16 if self.kind == "H" else np.uint32)
-        ids[-1] = END
-        return ids
+        out, known = [], self.kept.__getitem__
+        for text, w, own in zip(texts, whole, tokens, strict=True):
+            ids = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(map(known, own)), self.dtype)
+            out.append(np.append(ids.astype(np.uint32), np.uint32(END)))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker and model, with its store."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +156,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, symbols: int = 1
         e = e.copy()
         e[at] = e[at + 1]
         s, e, rules = s[keep], e[keep], np.concatenate((rules, chosen))
+        if len(at) < GAIN * len(keep):
+            break
     return s, e, np.stack((rules >> shift, rules & ((wide(1) << shift) - wide(1))), 1).astype(np.uint32)
 
 
@@ -230,7 +240,13 @@ class Shard:
         self.symbols = read("<u2" if width == 2 else "<u4", symbols)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        """All ids: each symbol's expansion is copied from one table of all expansions."""
+        table_ = np.concatenate((np.arange(self.terminals, dtype=np.uint32), expand(np.arange(self.terminals, self.terminals + len(self.rules)), self.rules, self.terminals)))
+        sizes = np.concatenate((np.ones(self.terminals, np.int64), self.lengths.astype(np.int64)))
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[self.symbols]
+        ends = np.cumsum(size)
+        return table_[np.repeat(begins[self.symbols] - ends + size, size) + np.arange(self.n_ids)]
 
     def ids_at(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard; only the symbols that cover them are expanded."""
@@ -249,7 +265,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         ids, texts, n = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -259,12 +275,14 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                texts.append(encoder.encode(text.as_py()))
-                n += len(texts[-1])
-                if n >= shard_tokens:
-                    yield close()
+            for at in range(0, batch.num_rows, BATCH):
+                some = batch.slice(at, BATCH)
+                for i, found in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                    ids.append(i)
+                    texts.append(found)
+                    n += len(found)
+                    if n >= shard_tokens:
+                        yield close()
         if ids:
             yield close()
 
