@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, table
 
-LANG_CHARS, TOTAL_CHARS = 60_000, 1_200_000
+LANG_CHARS, TOTAL_CHARS = 20_000, 400_000
 SAMPLE_ROWS, PIECE = 400, 400
 MOST_LANGS = 500
-CACHE = 300_000
+CACHE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Bits of a language's count in a packed sum: texts of up to 2^40 characters.
 FIELD = 40
