@@ -45,7 +45,7 @@ SHARD_TOKENS = 2_000_000
 ROUND_RULES, FREQUENT, GAIN = 5_000, 16, 0.01
 MAGIC = b"TKRP1\0"
 NO_ID = -(1 << 63)
-KEEP = 1_000_000
+KEEP = 600_000
 #: Texts that are encoded together.
 BATCH = 64
 
