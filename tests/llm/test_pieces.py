@@ -31,8 +31,9 @@ def test_query_equals_the_library(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "a b", 3)], "doc_id long, text string, decoded int")
-    rows = P.crc_of_ids(P.decoded(P.encoded(docs), out="back")).collect()
+    docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "a b", 3)], "doc_id long, text string, row int").withColumnRenamed("row", "decoded")
+    rows = P.decoded(P.tokenized(docs), out="back").collect()
     assert sorted((len(r.ids), r.back, r.decoded) for r in rows) == [(0, "", 1), (0, "", 2), (0, "", 2), (2, "a b", 3)]
-    assert P.encoded(docs.where("false")).count() == 0
+    assert P.tokenized(docs.where("false")).count() == 0
     assert P.decoded(docs.select(F.lit(None).cast("array<int>").alias("ids"))).first().decoded == ""
+    assert P.tokenized(docs.withColumnRenamed("decoded", "row"), ("ids_crc32",)).columns == ["doc_id", "text", "row", "ids_crc32"]

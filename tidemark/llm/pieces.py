@@ -28,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import table
 
 SPACE_MARK = "▁"
 SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 #: Segments and pair weights that a worker keeps, and the longest segment kept.
-KEEP, KEEP_PAIRS, KEEP_CHARS = 300_000, 600_000, 48
+KEEP, KEEP_PAIRS, KEEP_CHARS = 200_000, 200_000, 48
 INF = float("inf")
 
 
@@ -160,16 +162,34 @@ def machine(path: str) -> Transducer:
     return _machines[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the array out of token ids."""
+#: What tokenized() can add, and the types.
+OUTPUTS = {"ids": "array<int>", "ids_crc32": "bigint", "decoded": "string"}
+ARROW = {"ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "decoded": pa.string()}
+#: Rows that a worker holds tokens of at a time.
+ROWS = 128
+
+
+def tokenized(docs: DataFrame, outputs: tuple[str, ...] = ("ids",), path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with the columns named in outputs: token ids, their unsigned crc32 (as little-endian 32-bit
+    integers), the text decoded from them. One worker does all, on ROWS rows at a time."""
     path = path or model_path()
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
-        for texts in batches:
-            yield pd.Series([m.encode(t) for t in texts], dtype=object)
-
-    return docs.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text_col).cast("string")))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [m.encode(t) for t in part.column(1).to_pylist()]
+                made = {
+                    "ids": lambda ids=ids: ids,
+                    "ids_crc32": lambda ids=ids: [zlib.crc32(x.tobytes()) for x in ids],
+                    "decoded": lambda ids=ids: [m.decode(x) for x in ids],
+                }
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(made[k](), ARROW[k]) for k in outputs]], names=["row", *outputs])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], *[T.StructField(k, T._parse_datatype_string(OUTPUTS[k])) for k in outputs]])
+    return rows.mapInArrow(run, schema).select("row.*", *outputs)
 
 
 def decoded(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -184,19 +204,9 @@ def decoded(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out:
     return rows.withColumn(out, F.pandas_udf(run, "string")(F.col(ids_col)))
 
 
-def crc_of_ids(rows: DataFrame, ids_col: str = "ids", out: str = "ids_crc32") -> DataFrame:
-    """rows with the unsigned crc32 of the ids as little-endian 32-bit integers."""
-
-    def run(arrays: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray([] if a is None else a, "<i4").tobytes()) for a in arrays], dtype="int64")
-
-    return rows.withColumn(out, F.pandas_udf(run, "long")(F.col(ids_col)))
-
-
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, their decoding, and whether it returns the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = crc_of_ids(decoded(encoded(docs)))
+    rows = tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), ("ids", "ids_crc32", "decoded"))
     text = F.translate(F.coalesce("text", F.lit("")), SPACE_MARK, " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == text).alias("round_trip"))
 
