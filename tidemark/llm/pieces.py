@@ -38,7 +38,7 @@ from tidemark.llm.common import table
 SPACE_MARK = "▁"
 SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 #: Segments and pair weights that a worker keeps, and the longest segment kept.
-KEEP, KEEP_PAIRS, KEEP_CHARS = 200_000, 200_000, 48
+KEEP, KEEP_PAIRS, KEEP_CHARS = 250_000, 400_000, 48
 INF = float("inf")
 
 
@@ -60,7 +60,7 @@ class Transducer:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte_of = {i: int(self.text[i][3:5], 16) for i in range(n) if model.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
-        self.hidden = {i for i in range(n) if special[i]}
+        self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if special[i] else self.text[i].encode() for i in range(n)]
         self.id = {t: i for i, t in enumerate(self.text) if not special[i] and i not in self.byte_of}
         self.score = {t: model.get_score(i) for t, i in self.id.items()}
         self.trie: dict = {}
@@ -69,6 +69,7 @@ class Transducer:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
+        self.joins = {t[k : k + 2] for t in self.id for k in range(len(t) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -98,22 +99,25 @@ class Transducer:
 
     def shortest(self, segment: str) -> list[str]:
         """Labels of the shortest path through the lattice of a segment."""
-        n = len(segment)
+        n, pairs = len(segment), self.pairs
         cost, back = [INF] * (n + 1), [""] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            if cost[i] == INF:
+            here = cost[i]
+            if here == INF:
                 continue
-            node, k = self.trie, i
+            before, node, k = back[i], self.trie, i
             labels = [] if segment[i] in self.id else [segment[i]]  # byte fallback
             while k < n and (node := node.get(segment[k])) is not None:
                 k += 1
-                if "" in node:
+                if "" in node and cost[k] == INF:  # a place that is reached has its one finite path
                     labels.append(node[""])
             for piece in labels:
-                to = i + len(piece)
-                if (c := cost[i] + self.weight(back[i], piece)) < cost[to]:
-                    cost[to], back[to] = c, piece
+                if (stands := pairs.get((before, piece))) is None:
+                    stands = self.weight(before, piece) < INF
+                if stands:
+                    to = i + len(piece)
+                    cost[to], back[to] = here + 1, piece
         path, i = [], n
         while i:
             path.append(back[i])
@@ -121,20 +125,36 @@ class Transducer:
         return path[::-1]
 
     def segment(self, segment: str) -> bytes:
-        """Ids of a segment as little-endian 32-bit integers."""
+        """Ids of a segment as little-endian 32-bit integers. No arc leads across two characters that no
+        piece holds side by side: the parts between such places have their own paths, kept as well."""
+        at, parts, joins = 0, [], self.joins
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in joins:
+                parts.append(segment[at:k])
+                at = k
+        parts.append(segment[at:])
+        out = b"".join([self.kept.get(part) or self.part(part) for part in parts])
+        if len(parts) == 2 and len(segment) <= KEEP_CHARS:  # a word and its comma; longer ones rarely come again
+            self.keep(segment, out)
+        return out
+
+    def part(self, part: str) -> bytes:
         ids: list[int] = []
-        for piece in self.shortest(segment):
+        for piece in self.shortest(part):
             if piece in self.id:
                 ids.append(self.id[piece])
             else:
                 ids.extend(self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass"))
         out = np.array(ids, "<i4").tobytes()
-        if len(segment) <= KEEP_CHARS:
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
-            self.kept[segment] = out
+        if len(part) <= KEEP_CHARS:
+            self.keep(part, out)
         return out
 
+    def keep(self, segment: str, out: bytes) -> None:
+        if len(self.kept) >= KEEP:
+            self.kept.clear()
+        self.kept[segment] = out
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<i4")
@@ -142,13 +162,8 @@ class Transducer:
         return np.frombuffer(b"".join([known(s) or self.segment(s) for s in SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        for i in np.asarray(ids).tolist():
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.hidden:
-                out += self.text[i].encode("utf-8")
-        return out.decode("utf-8", "replace").replace(SPACE_MARK, " ").removeprefix(" ")
+        table_ = self.bytes_of
+        return b"".join([table_[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace").replace(SPACE_MARK, " ").removeprefix(" ")
 
 
 _machines: dict[str, Transducer] = {}
