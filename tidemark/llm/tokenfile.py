@@ -58,6 +58,8 @@ PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ–—‘’“”„«»
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
 LINE_END = chr(BYTE_LEVEL[10])
+#: Byte-level characters of pre-tokens a line each; between them comes a line with a line end's own character.
+AS_LINES = BYTE_LEVEL | {10: f"\n{LINE_END}\n"}
 
 
 def model_path() -> str:
@@ -80,6 +82,7 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.vocabulary = self.model.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.end = np.array([END], self.dtype).tobytes()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
@@ -87,7 +90,7 @@ class Encoder:
         """Ids of new pre-tokens: in one call of the library, as lines of byte-level characters
         with line ends between them (those that hold line ends one by one)."""
         words = [w for w in new if "\n" not in w]
-        lines = f"\n{LINE_END}\n".join([w.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LEVEL) for w in words])
+        lines = "\n".join(words).encode("utf-8", "surrogatepass").decode("latin-1").translate(AS_LINES)
         ids = np.array(self.lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
         between = np.flatnonzero(ids == self.line_end).tolist() if words else []
         if len(between) != len(words) - 1:  # the model has no id of its own for line ends
@@ -111,8 +114,8 @@ class Encoder:
             self.learn(new)
         out, known = [], self.kept.__getitem__
         for text, w, own in zip(texts, whole, tokens, strict=True):
-            ids = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(map(known, own)), self.dtype)
-            out.append(np.append(ids.astype(np.uint32), np.uint32(END)))
+            ids = np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if w else b"".join(map(known, own))
+            out.append(np.frombuffer(ids + self.end, self.dtype))
         return out
 
 
@@ -138,19 +141,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, symbols: int = 1
     while len(s) > 1 and (room := min(ROUND_RULES, symbols - terminals - len(rules))) > 0:
         pairs = (s[:-1].astype(wide) << shift) | s[1:]
         free = ~e[:-1]
-        ordered = np.sort(pairs[free])
+        ordered = pairs[free]
+        ordered.sort()
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(counts >= FREQUENT) if len(ordered) else []
         if not len(often):
             break
-        chosen = np.sort(ordered[first[often[np.lexsort((often, -counts[often]))[:room]]]])
-        place = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1) if len(pairs) < 1 << 12 else looked_up(chosen, pairs)
+        chosen = ordered[first[often[np.lexsort((often, -counts[often]))[:room]]]]
+        own = slot(chosen)
+        chosen = np.sort(chosen[np.sort(np.unique(own, return_index=True)[1])])  # of pairs with one slot, the others wait for the next round
+        slots = np.zeros(1 << 20, np.uint16)
+        slots[slot(chosen)] = np.arange(len(chosen), dtype=np.uint16)
+        place = slots[slot(pairs)]
         at = np.flatnonzero((chosen[place] == pairs) & free)
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
         s = s.copy()
-        s[at] = terminals + len(rules) + place[at]
+        s[at] = terminals + len(rules) + place[at].astype(np.uint32)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         e = e.copy()
@@ -161,20 +169,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, symbols: int = 1
     return s, e, np.stack((rules >> shift, rules & ((wide(1) << shift) - wide(1))), 1).astype(np.uint32)
 
 
-def looked_up(chosen: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For each pair a place in chosen, right if it is there: one look-up, a search only where slots collide."""
-    slot = lambda x: ((x * x.dtype.type(2654435761)).astype(np.uint32) >> np.uint32(12)).astype(np.int64)
-    own = slot(chosen)
-    table_ = np.zeros(1 << 20, np.int64)
-    table_[own] = np.arange(len(chosen))
-    place = table_[slot(pairs)]
-    taken, times = np.unique(own, return_counts=True)
-    if (times > 1).any():
-        shared = np.zeros(1 << 20, bool)
-        shared[taken[times > 1]] = True
-        again = np.flatnonzero(shared[slot(pairs)])
-        place[again] = np.minimum(np.searchsorted(chosen, pairs[again]), len(chosen) - 1)
-    return place
+def slot(pairs: np.ndarray) -> np.ndarray:
+    """A place from 0 to 2^20 for each pair."""
+    return ((pairs * pairs.dtype.type(2654435761)) >> pairs.dtype.type(12)).astype(np.uint32) & np.uint32((1 << 20) - 1)
 
 
 def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:
