@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "joins")
+MODULES = ("features", "quality", "events", "joins")
 
 
 def gathered(kind: str) -> dict:
