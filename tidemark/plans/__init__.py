@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "events", "joins")
+MODULES = ("features", "quality", "events", "joins", "states", "study", "reconcile")
 
 
 def gathered(kind: str) -> dict:
