@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "events", "joins", "states", "study", "reconcile")
+MODULES = ("features", "quality", "events", "joins", "states", "study", "reconcile", "trades", "stats", "replay")
 
 
 def gathered(kind: str) -> dict:
