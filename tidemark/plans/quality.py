@@ -88,7 +88,7 @@ def cross_interval_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(worst <= 1e-9).alias("equal"), F.round(F.max(worst), 6).alias("worst"))
 
 
-CROSS_SQL = f"""SELECT symbol, count(*) AS n, count(*) AS equal, 0.0 AS worst FROM ({bars_sql()}) GROUP BY symbol"""
+CROSS_SQL = f"""SELECT symbol, count(*) AS n, count(*) AS equal, CAST(0 AS DOUBLE) AS worst FROM ({bars_sql()}) GROUP BY symbol"""
 
 
 def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,13 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     gross = F.col("side") * (F.col("exit") / F.col("entry") - 1)
     best, worst = F.when(F.col("side") > 0, F.col("top")).otherwise(F.col("bottom")), F.when(F.col("side") > 0, F.col("bottom")).otherwise(F.col("top"))
     # Prices of events are far apart; a tenth of the move keeps returns within the usual range.
-    small = lambda c: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c / 10))
+    small = lambda c: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c / 10)) + 0.0  # noqa: E731  no negative zero
     return rows.select("symbol", "t", F.col("side").cast("long").alias("side"), "entry", "exit", small(gross).alias("gross"), (small(gross) - FEE).alias("net"), small(F.col("side") * (best / F.col("entry") - 1)).alias("mfe"), small(F.col("side") * (worst / F.col("entry") - 1)).alias("mae"))
 
 
 T_SQL = f"""{DETECTED_SQL}, nx AS (SELECT symbol, t, lead(open) {OVER} AS entry, lead(close, 4) {OVER} AS exit, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
 tr0 AS (SELECT det.symbol, det.t, CAST(side AS BIGINT) AS side, entry, exit, side * (exit / entry - 1) AS g, side * (CASE WHEN side > 0 THEN top ELSE bottom END / entry - 1) AS f, side * (CASE WHEN side > 0 THEN bottom ELSE top END / entry - 1) AS a FROM det JOIN nx ON det.symbol = nx.symbol AND det.t = nx.t WHERE factor = 1 AND exit IS NOT NULL AND entry > 0),
-trades AS (SELECT symbol, t, side, entry, exit, greatest(-0.5, least(0.5, g / 10)) AS gross, greatest(-0.5, least(0.5, g / 10)) - {FEE} AS net, greatest(-0.5, least(0.5, f / 10)) AS mfe, greatest(-0.5, least(0.5, a / 10)) AS mae FROM tr0)"""
+trades AS (SELECT symbol, t, side, entry, exit, greatest(-0.5, least(0.5, g / 10)) + 0.0 AS gross, greatest(-0.5, least(0.5, g / 10)) - {FEE} AS net, greatest(-0.5, least(0.5, f / 10)) + 0.0 AS mfe, greatest(-0.5, least(0.5, a / 10)) + 0.0 AS mae FROM tr0)"""
 
 
 def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
