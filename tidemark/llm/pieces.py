@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a byte-pair model file: the normaliser (space to U+2581, one U+2581
-in front), the pieces with byte fallback for characters without a piece, and the weights between
+Three machines are compiled from a byte-pair model file: the normaliser (U+2581 and space are one
+symbol, written as a space here; one in front), the pieces with byte fallback for characters without a piece, and the weights between
 neighbouring pieces. The composition with an input is a lattice of pieces over its characters; its
 shortest path in the tropical semiring (min, +) is the encoding.
 
@@ -11,7 +11,7 @@ byte-pair encoding of its text exactly if all its neighbours (and its first piec
 stand, so one path alone is finite and equals the library's result; the pair weights are compiled
 when first met and kept.
 
-No piece reaches from other characters into a following U+2581, so the lattice falls apart before
+No piece reaches from other characters into a following space, so the lattice falls apart before
 each run of it; equal segments have equal paths, which each worker keeps for a while. Long segments
 cost in proportion to their length. Decoding is the inverse machine; decoding an encoding returns
 the text, with U+2581 read as a space (they are one symbol to the normaliser).
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import table
 
 SPACE_MARK = "▁"
-SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
+SEGMENT = re.compile(" *[^ ]+| +")
 #: Segments and pair weights that a worker keeps, and the longest segment kept.
 KEEP, KEEP_PAIRS, KEEP_CHARS = 250_000, 400_000, 48
 INF = float("inf")
@@ -56,7 +56,7 @@ class Transducer:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = len(model)
-        self.text = [model.id_to_piece(i) for i in range(n)]
+        self.text = [model.id_to_piece(i).replace(SPACE_MARK, " ") for i in range(n)]  # a space is one byte, also in strings
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte_of = {i: int(self.text[i][3:5], 16) for i in range(n) if model.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
@@ -159,11 +159,10 @@ class Transducer:
         if not text:
             return np.zeros(0, "<i4")
         known = self.kept.get
-        return np.frombuffer(b"".join([known(s) or self.segment(s) for s in SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))]), "<i4")
+        return np.frombuffer(b"".join([known(s) or self.segment(s) for s in SEGMENT.findall(" " + text.replace(SPACE_MARK, " "))]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
-        table_ = self.bytes_of
-        return b"".join([table_[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace").replace(SPACE_MARK, " ").removeprefix(" ")
+        return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace").replace(SPACE_MARK, " ").removeprefix(" ")
 
 
 _machines: dict[str, Transducer] = {}
