@@ -171,10 +171,20 @@ def rep_of(id_: Column, fp: Column) -> Column:
 
 def grouped(seen: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """seen (id, fp, ...) with component: the smallest id reached, or a stand-in from NO_ID on."""
-    folded = cut(seen.groupBy("fp").agg(F.min("id").alias("low")).select("fp", rep_of(F.col("low"), F.col("fp")).alias("rep")))
-    found = components(links(folded, max_bits))
-    named = folded.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return seen.join(named, "fp")
+    folded = fold(seen)
+    return named(seen, folded, links(folded, max_bits))
+
+
+def fold(seen: DataFrame) -> DataFrame:
+    """(fp, rep): the smallest id of each fp, or a stand-in."""
+    return cut(seen.groupBy("fp").agg(F.min("id").alias("low")).select("fp", rep_of(F.col("low"), F.col("fp")).alias("rep")))
+
+
+def named(seen: DataFrame, folded: DataFrame, edges: DataFrame) -> DataFrame:
+    """seen with component, by edges (a, b) of reps."""
+    found = components(edges)
+    names = folded.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return seen.join(names, "fp")
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -187,8 +197,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """docs with one row of each component: that of the smallest id (of several texts under it, that of the
     smallest hash; of repeated rows, one)."""
     seen = cut(fingerprints(docs, id_col, text_col, shingle))
+    return chosen(docs, grouped(seen, max_bits), id_col, text_col)
+
+
+def chosen(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that name their components; found: (id, th, fp, component) of each row."""
     best = F.struct("th", F.lit(0))
-    rows = grouped(seen, max_bits).where(rep_of(F.col("id"), F.col("fp")) == F.col("component"))
+    rows = found.where(rep_of(F.col("id"), F.col("fp")) == F.col("component"))
     chosen = cut(rows.groupBy("component").agg(F.min(best).alias("best"), F.min("id").alias("kept_id"), F.count("*").alias("n")).select("kept_id", F.col("best.th").alias("kept_th"), "n"))
     match = docs[id_col].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("kept_th"))
     once = docs.join(chosen.where("n = 1"), match, "left_semi")
