@@ -33,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def no_clash(df: DataFrame, *names: str) -> None:
+    """Raises ValueError where df has an output's name already (Spark compares them without case)."""
+    if both := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"rename the columns {sorted(both)}: the result adds columns of these names")
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: Column) -> Column:
     """crc32 of the key as text, modulo 4, is 2. A null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2

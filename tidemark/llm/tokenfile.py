@@ -369,9 +369,9 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             names, some, room = [], [], BATCH_CHARS
             for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                names += part.column(0).to_pylist()
-                some += (more := part.column(1).to_pylist())
+                few = batch.slice(at, BATCH)
+                names += few.column(0).to_pylist()
+                some += (more := few.column(1).to_pylist())
                 room -= sum(len(t or "") + 1 for t in more)
                 if room <= 0 or at + BATCH >= batch.num_rows:
                     yield from add(names, some)
