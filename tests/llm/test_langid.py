@@ -27,6 +27,23 @@ def test_automaton_equals_brute_force():
             assert a.phrases(text) == brute_phrases(train, text), (train, text)
 
 
+def test_whole_texts_equal_brute_force(monkeypatch):
+    """Phrases of whole texts, across words, whether read side by side or one by one."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 6)))
+    text = lambda n: rng.choice([" ", ", ", "\n 1 "]).join(word() for _ in range(n))
+    training = {k: text(60) for k in ("x", "y", "z")}
+    texts = [text(rng.randrange(0, 40)) for _ in range(60)] + ["", "Q q", "1", "ABC" * 50]
+    plain = lambda t: " " + "".join(c + " " * (c == " ") if c.isalpha() else " " for c in t.lower()) + " "
+    fold = lambda t: " ".join(plain(t).split()).join("  ") if plain(t).strip() else " "
+    for few in (1, 16, 1000):
+        monkeypatch.setattr(L, "FEW", few)
+        monkeypatch.setattr(L, "BATCH_CHARS", 50)
+        counts, letters = L.Parser(training).counts(texts)
+        assert counts.tolist() == [[brute_phrases(fold(training[k]), fold(t)) for k in sorted(training)] for t in texts]
+        assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows = L.op10_langid(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
@@ -44,3 +61,4 @@ def test_edges(spark):
     assert L.training_texts(docs.where("false")) == {}
     assert {r.o.lang for r in L.identified(docs, {}, out="o").collect()} == {"und"}
     assert L.identified(docs.where("false"), training).count() == 0
+    assert L.identified(docs, training).columns == ["doc_id", "text", "lang", "language"]

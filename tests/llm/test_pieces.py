@@ -22,6 +22,19 @@ def test_equals_the_library():
         assert m.decode(ids) == t.replace("▁", " ")
 
 
+def test_weights_equal_merging():
+    """Two pieces can stand side by side exactly if merging their joint text by score gives them."""
+    rng, m = random.Random(5), P.Transducer(P.model_path())
+    every = list(m.id)
+    short, spaces = [p for p in every if len(p) < 4], [p for p in every if not p.strip(" ")]
+    pairs = [(rng.choice(k), rng.choice(k)) for k in (every, short) for _ in range(6000)] + [(a, b) for a in spaces for b in spaces]
+    got = m.stands(np.array([m.id[a] for a, _ in pairs]), np.array([m.id[b] for _, b in pairs]))
+    assert got.tolist() == [[t for t, *_ in m.merged(a + b)] == [a, b] for a, b in pairs]
+    for text in ("unbelievable", "  a  b", "aaaaaaa", "zzzq"):
+        ids, _ = m.paths(np.array(list(map(ord, text)), np.uint32), np.array([0]), np.array([len(text)]))
+        assert [m.text[i] for i in m.shortest(text)] == [m.text[i] for i in ids]
+
+
 def test_query_equals_the_library(spark):
     d = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in table(spark, d, "documents").select("doc_id", "text").collect()}
@@ -37,3 +50,5 @@ def test_edges(spark):
     assert P.tokenized(docs.where("false")).count() == 0
     assert P.decoded(docs.select(F.lit(None).cast("array<int>").alias("ids"))).first().decoded == ""
     assert P.tokenized(docs.withColumnRenamed("decoded", "row"), ("ids_crc32",)).columns == ["doc_id", "text", "row", "ids_crc32"]
+    rows = P.tokenized(docs, ("ids", "decoded")).collect()
+    assert sorted(r.decoded for r in rows) == ["", "", "", "a b"] and rows[0].__fields__ == ["doc_id", "text", "ids", "decoded"]

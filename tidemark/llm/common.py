@@ -33,10 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def no_clash(df: DataFrame, *names: str) -> None:
-    """Raises ValueError where df has an output's name already (Spark compares them without case)."""
-    if both := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"rename the columns {sorted(both)}: the result adds columns of these names")
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df without those that outputs of these names replace (Spark compares without case)."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
 def free_name(name: str, *frames: DataFrame) -> str:

@@ -16,9 +16,9 @@ long string. No arc leads across two characters that no piece holds side by side
 short strings there; equal ones have equal paths, which each worker keeps for a while (KEEP). Decoding is the
 inverse machine; decoding an encoding returns the text, with U+2581 read as a space.
 
-Null and empty texts have no ids. Repeated rows, null ids and extra columns stay; an output column whose
-name docs has already is refused (ValueError). The model's path is a parameter and must lead to the file on
-every executor.
+Null and empty texts have no ids. Repeated rows, null ids and extra columns stay, but for those
+with an output's name, which it replaces. The model's path is a parameter and must lead to the file on every
+executor.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrays import END_CODE, Store, Table, by_size, codes_of, spread
-from tidemark.llm.common import no_clash, table
+from tidemark.llm.common import others, table
 
 SPACE_MARK = "▁"
 #: Strings and pair weights that a worker keeps, characters of both the strings and a batch, and the longest
@@ -309,7 +309,6 @@ def tokenized(docs: DataFrame, outputs: tuple[str, ...] = ("ids",), path: str |
     """docs with the columns named in outputs: token ids, their unsigned crc32 (as little-endian 32-bit
     integers), the text decoded from them. One worker does all, on about BATCH_CHARS characters at a time."""
     path = path or model_path()
-    no_clash(docs, *outputs)
 
     def made(m: Transducer, rows: pa.Array, texts: list[str]) -> pa.RecordBatch:
         ids, ends = m.encode_all(texts)
@@ -333,15 +332,16 @@ def tokenized(docs: DataFrame, outputs: tuple[str, ...] = ("ids",), path: str |
                 yield made(m, batch.column(0).slice(at, len(texts)), texts)
                 at += len(texts)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = [F.col(f"`{c}`") for c in others(docs, *outputs)]
+    # An empty struct can't be sent.
+    rows = docs.select(F.struct(*kept or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], *[T.StructField(k, T._parse_datatype_string(OUTPUTS[k])) for k in outputs]])
-    return rows.mapInArrow(run, schema).select("row.*", *outputs)
+    return rows.mapInArrow(run, schema).select(*(["row.*"] if kept else []), *outputs)
 
 
 def decoded(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the text out of the token ids; a null array gives an empty text."""
     path = path or model_path()
-    no_clash(rows, out)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = machine(path)
