@@ -12,6 +12,9 @@ from tidemark.operators import quality as Q
 from tidemark.operators import reconcile as R
 from tidemark.operators import states as T
 from tidemark.operators import stats as X
+from tidemark.plans.study import detected_in
+from tidemark.sources import files
+from tidemark.sources.files import canonical_hash
 
 HOUR, DAY = 3600, 86400
 
@@ -81,8 +84,8 @@ def test_machines_run_key_by_key_in_order(spark):
     states = ["UP", "DOWN", "UP", "UP", "DOWN", "DOWN", "TRANSITION", "UP"]
     rows = [(k, t, s) for k in "ab" for t, s in enumerate(states)]
     random.Random(3).shuffle(rows)
-    got = M.run(spark.createDataFrame(rows, "symbol string, t long, state string"), "symbol", ["t"], lambda: M.Debounce(2), "t long, proposed string, state string")
-    want = ["UP", "UP", "UP", "UP", "UP", "DOWN", "TRANSITION", "TRANSITION"]
+    got = M.run(spark.createDataFrame(rows, "symbol string, t long, state string"), "symbol", ["t"], M.Debounce, "t long, proposed string, state string")
+    want = ["WARMUP", "WARMUP", "WARMUP", "UP", "UP", "DOWN", "DOWN", "DOWN"]
     assert rows_of(got, "symbol", "t", "state") == [(k, t, s) for k in "ab" for t, s in enumerate(want)]
 
 
@@ -128,3 +131,78 @@ def test_statistics_of_small_tables(spark):
     labels = df.select(F.col("up").cast("string").alias("a"), F.col("up").cast("string").alias("b"))
     assert X.cohen_kappa(labels, "a", "b").first()["kappa"] == pytest.approx(1.0)
     assert X.adjusted_rand(labels, "a", "b").first()["ari"] == pytest.approx(1.0)
+
+
+def test_debounce_with_cross_reset_equals_the_machine(spark):
+    """By hand: two rows take a state on, a crossing is TRANSITION at once and forgets what was proposed."""
+    rows = [("WARMUP", 0, "WARMUP"), ("UP", 1, "WARMUP"), ("UP", 1, "UP"), ("DOWN", 1, "UP"), ("TRANSITION", 1, "UP"), ("TRANSITION", 1, "TRANSITION"), ("DOWN", -1, "TRANSITION"), ("DOWN", -1, "TRANSITION"),
+            ("DOWN", 0, "DOWN"), ("DOWN", -1, "DOWN"), ("UP", 1, "TRANSITION"), ("UP", 1, "TRANSITION"), ("UP", 1, "UP"), ("WARMUP", 1, "WARMUP"), ("UP", 1, "WARMUP"), ("UP", 1, "UP")]
+    df = spark.createDataFrame([("a", t, s, x) for t, (s, x, _) in enumerate(rows)], "symbol string, t long, state string, above int")
+    assert rows_of(T.debounced(df), "t", "taken") == [(t, w) for t, (_, _, w) in enumerate(rows)]
+    machine, before = M.Debounce(), 0
+    for t, (s, x, want) in enumerate(rows):
+        crossed, before = bool(x and before and x != before), x or before
+        assert machine.step({"t": t, "state": s, "crossed": crossed}) == [(t, s, want)]
+
+
+def test_hysteresis_equals_the_machine(spark):
+    values = [None, 0.5, 0.8, 0.5, None, 0.4, 0.39, 0.5, 0.71, 0.7]
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate(values)], "symbol string, t long, x double")
+    m = M.Hysteresis(0.4, 0.7)
+    assert rows_of(T.hysteresis(df, "x", 0.4, 0.7), "t", "high") == [m.step({"t": t, "x": v})[0] for t, v in enumerate(values)]
+
+
+def test_detector_reads_the_childs_own_steps(spark):
+    """The step from the parent into the child (bar 8) is no counter motion of the child."""
+    base = [10.0 + k for k in range(8)]  # parent rises
+    bar = lambda t, c, o: ("a", t, o, max(o, c) + 0.5, min(o, c) - 0.5, c)
+    def found(child):
+        closes = base + child
+        rows = [bar(t, c, closes[t - 1] if t else c) for t, c in enumerate(closes)]
+        d = spark.createDataFrame(rows, "symbol string, t long, open double, high double, low double, close double")
+        return {(r.t, r.intact) for r in detected_in(d).where("factor = 0.8").collect()}
+    assert found([16.5, 16.6, 16.7, 16.8, 18.8]) == set()  # falls into the child alone, then rises throughout
+    assert found([17.5, 17.2, 17.1, 17.0, 19.5]) == {(12, True)}
+    assert found([17.5, 9.0, 9.2, 9.1, 19.5]) == {(12, False)}  # a close beyond the parent's boundary of 9.5
+
+
+def test_a_number_against_null_differs(spark):
+    a = spark.createDataFrame([(1, None, "x"), (2, None, "x"), (None, 3.0, "x"), (4, 1.0, None)], "k long, v double, s string")
+    b = spark.createDataFrame([(1, 5.0, "x"), (2, None, "x"), (None, 3.0, "x"), (4, 1.0, None)], "k long, v double, s string")
+    got = {r.k: r.status for r in R.by_identity(a, b, ["k"], ["v"], ["s"]).collect()}
+    assert got == {1: "NUMERIC_DIFFERENCE", 2: "MATCH", None: "MATCH", 4: "MATCH"}
+    assert [tuple(r) for r in R.by_multiplicity(a.where("k IS NULL"), b.where("k IS NULL"), ["k", "v", "s"]).collect()] == [(None, 3.0, "x", 1, 0, 0)]
+
+
+def test_semi_range_join_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([("a", 10), ("a", 10), ("a", 100), ("b", 10)], "symbol string, t long")
+    right = spark.createDataFrame([("a", 14), ("a", 7), ("a", 200)], "symbol string, at long")
+    assert rows_of(J.within(left, right, "t", "at", 5, 5, how="semi"), "symbol", "t") == [("a", 10), ("a", 10)]
+    assert rows_of(J.within(left, right, "t", "at", 2, 4, how="semi"), "symbol", "t") == [("a", 10), ("a", 10)]
+    assert rows_of(J.within(left, right, "t", "at", 2, 3, how="semi"), "symbol", "t") == []
+
+
+def test_canonical_hash_tells_cells_apart(spark):
+    digest = lambda rows: canonical_hash(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first().digest
+    assert len({digest([("x|y", "z")]), digest([("x", "y|z")]), digest([(None, "z")]), digest([("~", "z")])}) == 4
+    assert digest([("a", "b"), ("c", None)]) == digest([("c", None), ("a", "b")])
+
+
+def test_files_sources(spark, tmp_path):
+    (tmp_path / "bars.csv").write_text("timestamp_utc,open,high,low,close,volume,turnover\n2024-01-01T00:00:00Z,1,3,1,2,5,9\n2024-01-01T04:00:00Z,2,2,2,2,0,0\n")
+    path = str(tmp_path / "bars.csv")
+    assert [tuple(r) for r in files.bars_of(files.scan_csv(spark, path, files.BAR_SCHEMA), "x").select("symbol", "t", "high").collect()] == [("x", 1704067200, 3.0), ("x", 1704081600, 2.0)]
+    assert files.scan_text_csv(spark, path).first().open == "1"
+    sha = files.file_hashes(spark, path).first().sha256
+    assert files.pinned(spark, path, sha, files.BAR_SCHEMA).count() == 2
+    with pytest.raises(ValueError):
+        files.pinned(spark, path, "0" * 64, files.BAR_SCHEMA)
+    (tmp_path / "log.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert files.scan_json(spark, str(tmp_path / "log.jsonl"), "a long").agg({"a": "sum"}).first()[0] == 3
+    times = spark.createDataFrame([("1704067200",), ("1704067200000",), ("2024-01-01T00:00:00Z",), ("x",)], "v string")
+    assert [r.t for r in times.select(files.epoch_of(F.col("v"))).collect()] == [1704067200, 1704067200, 1704067200, None]
+    rows = spark.range(3)
+    files.publish(rows, f"{tmp_path}/s", f"{tmp_path}/f")
+    assert spark.read.parquet(f"{tmp_path}/f").count() == 3
+    with pytest.raises(ValueError):
+        files.publish(rows, f"{tmp_path}/s", f"{tmp_path}/f", checks=rows)

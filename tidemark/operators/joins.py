@@ -30,13 +30,18 @@ def children(parents: DataFrame, bars: DataFrame, child: int, parent: int) -> Da
 
 
 def within(left: DataFrame, right: DataFrame, left_time: str, right_time: str, before: int, after: int, by: str = "symbol", how: str = "inner") -> DataFrame:
-    """Pairs with left_time - before <= right_time <= left_time + after; right columns must have names of their own."""
+    """Pairs with left_time - before <= right_time <= left_time + after; right columns must have names of their own.
+
+    how="semi": the left rows that meet any, each as often as it is there, by the first right time from left_time - before on."""
+    if how == "semi":
+        marks = right.select(F.col(by), F.col(right_time).alias("_m")).withColumn("_n", -F.col("_m"))
+        return asof(left.withColumn("_at", before - F.col(left_time)), marks, "_at", "_n", ["_m"], by).where(F.col("_m") <= F.col(left_time) + after).drop("_at", "_m")
     width = max(1, before + after)
     b = right.withColumns({"_b": F.floor(F.col(right_time) / width), "_k": F.col(by)}).drop(by)
     a = left.withColumn("_a", F.explode(F.sequence(F.floor((F.col(left_time) - before) / width), F.floor((F.col(left_time) + after) / width))))
-    met = a.join(b, (F.col(by) == F.col("_k")) & (F.col("_a") == F.col("_b")) & F.col(right_time).between(F.col(left_time) - before, F.col(left_time) + after), "inner" if how == "inner" else "left_semi")
+    met = a.join(b, (F.col(by) == F.col("_k")) & (F.col("_a") == F.col("_b")) & F.col(right_time).between(F.col(left_time) - before, F.col(left_time) + after))
     # A row lies in several buckets of the left side, but each right row in one: pairs come once.
-    return met.drop("_a", "_b", "_k") if how == "inner" else met.drop("_a").distinct()
+    return met.drop("_a", "_b", "_k")
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int, by: str = "symbol") -> DataFrame:

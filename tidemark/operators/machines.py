@@ -44,18 +44,22 @@ def run(rows: DataFrame, key: str, order: list[str], kernel: Callable[[], object
 
 
 class Debounce:
-    """A state is taken on once it has been proposed `confirm` times in a row; `at_once` ones immediately."""
+    """A state is taken on once two rows in a row propose it; a crossing makes TRANSITION at once, WARMUP holds
+    at once, and both forget what was proposed. The stream's form of states.debounced."""
 
-    def __init__(self, confirm: int = 2, at_once: tuple[str, ...] = ("TRANSITION",)) -> None:
-        self.confirm, self.at_once = confirm, at_once
-        self.state, self.candidate, self.n = None, None, 0
+    def __init__(self) -> None:
+        self.state, self.before = "WARMUP", None
 
     def step(self, row: dict) -> list[tuple]:
         proposed = row["state"]
-        self.n = self.n + 1 if proposed == self.candidate else 1
-        self.candidate = proposed
-        if self.state is None or proposed in self.at_once or self.n >= self.confirm:
-            self.state = proposed
+        if proposed == "WARMUP":
+            self.state, self.before = "WARMUP", None
+        elif row.get("crossed"):
+            self.state, self.before = "TRANSITION", None
+        else:
+            if proposed == self.before:
+                self.state = proposed
+            self.before = proposed
         return [(row["t"], proposed, self.state)]
 
     def close(self) -> list[tuple]:

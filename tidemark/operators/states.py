@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.series import order
 
 
+def debounced(rows: DataFrame, state: str = "state", above: str = "above", out: str = "taken") -> DataFrame:
+    """rows with the state taken on: WARMUP where it is proposed, TRANSITION where above (1, 0 or -1, the order
+    of two averages) changes sign, else a state that two rows in a row propose, and what it was otherwise."""
+    past = order().rowsBetween(Window.unboundedPreceding, -1)
+    side = F.nullif(F.signum(F.col(above)), F.lit(0.0))
+    crossed = F.coalesce(side != F.last(side, ignorenulls=True).over(past), F.lit(False))
+    x = rows.withColumn("_crossed", crossed).withColumn("_still", (F.col(state) != "WARMUP") & ~F.col("_crossed"))
+    again = F.col("_still") & F.lag("_still").over(order()) & (F.col(state) == F.lag(state).over(order()))
+    x = x.withColumn("_taken", F.when(F.col(state) == "WARMUP", "WARMUP").when(F.col("_crossed"), "TRANSITION").when(again, F.col(state)))
+    return x.withColumn(out, F.coalesce(F.last("_taken", ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0)), F.lit("WARMUP"))).drop("_crossed", "_still", "_taken")
+
+
+def hysteresis(rows: DataFrame, value: str, low: float, high: float, out: str = "high") -> DataFrame:
+    """rows with the boolean out: true above high, false below low, else what it was (false at first)."""
+    sure = F.when(F.col(value) > high, True).when(F.col(value) < low, False)
+    return rows.withColumn(out, F.coalesce(F.last(sure, ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+
+
 def dwell(rows: DataFrame, state: str = "state") -> DataFrame:
     """(symbol, state, start, end, length): runs of equal states."""
     new = F.coalesce((F.col(state) != F.lag(state).over(order())).cast("int"), F.lit(1))

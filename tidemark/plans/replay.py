@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +12,9 @@ from tidemark.streaming import replay as R
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-hour bars of a stream over the events, with what the watermark has closed."""
     # The glob keeps a single file a valid source of a stream.
-    out = R.drained(R.bars(R.event_stream(spark, f"{sf_dir}/events.parqu[e]t")), f"replay_{uuid.uuid4().hex}")
-    return out.where(F.col("t") < 1706400000).withColumn("turnover", F.round("turnover", 4))
+    out = R.drained(R.bars(R.event_stream(spark, f"{sf_dir}/events.parqu[e]t")))
+    return out.withColumn("turnover", F.round("turnover", 4))
 
 
 QUERIES = {"stream_replay": stream_replay}
-ORACLES = {"stream_replay": f"SELECT * REPLACE (round(turnover, 4) AS turnover) FROM ({bars_sql()}) WHERE t < 1706400000"}
+ORACLES = {"stream_replay": f"SELECT * REPLACE (round(turnover, 4) AS turnover) FROM ({bars_sql()}) WHERE (t + 14400) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000"}

@@ -49,12 +49,27 @@ SELECT symbol, t, CASE WHEN side = 0 THEN 'TRANSITION' ELSE CASE WHEN side > 0 T
 
 
 def debounced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.run(model_a(spark, sf_dir).select("symbol", "t", "state"), "symbol", ["t"], lambda: M.Debounce(2), "t long, proposed string, state string")
+    """A proposed state counts from its second row in a row; a crossing of the averages is TRANSITION at once."""
+    x = model_a(spark, sf_dir).select("symbol", "t", F.when(F.col("ds").isNull(), "WARMUP").otherwise(F.col("state")).alias("proposed"), (F.col("fast") - F.col("slow")).alias("above"))
+    return T.debounced(x, "proposed", "above", "state").select("symbol", "t", "proposed", "state")
+
+
+PAST = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+DEBOUNCED_SQL = f"""{A_SQL}, p AS (SELECT symbol, t, CASE WHEN ds IS NULL THEN 'WARMUP' ELSE state END AS proposed, nullif(sign(fast - slow), 0) AS side FROM a),
+c AS (SELECT *, coalesce(side <> last_value(side IGNORE NULLS) {PAST}, false) AS crossed FROM p), s AS (SELECT *, proposed <> 'WARMUP' AND NOT crossed AS still FROM c),
+k AS (SELECT *, CASE WHEN proposed = 'WARMUP' THEN 'WARMUP' WHEN crossed THEN 'TRANSITION' WHEN still AND lag(still) {OVER} AND proposed = lag(proposed) {OVER} THEN proposed END AS taken FROM s)
+SELECT symbol, t, proposed, coalesce(last_value(taken IGNORE NULLS) {OVER}, 'WARMUP') AS state FROM k"""
 
 
 def hysteresis_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.atr(bars(spark, sf_dir)).withColumn("p", S.rank_among_last("atr", 30))
-    return M.run(rows.select("symbol", "t", F.col("p").alias("x")), "symbol", ["t"], lambda: M.Hysteresis(0.4, 0.7), "t long, high boolean")
+    return T.hysteresis(rows, "p", 0.4, 0.7).select("symbol", "t", "high")
+
+
+HYSTERESIS_SQL = f"""{CORE}, l AS (SELECT symbol, t, atr, list(atr) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS before FROM atr),
+p AS (SELECT symbol, t, CASE WHEN atr IS NOT NULL AND len(list_filter(before, lambda x: x IS NOT NULL)) = 30 THEN (len(list_filter(before, lambda x: x < atr)) + len(list_filter(before, lambda x: x <= atr))) / 60.0 END AS p FROM l),
+s AS (SELECT symbol, t, CASE WHEN p > 0.7 THEN true WHEN p < 0.4 THEN false END AS sure FROM p)
+SELECT symbol, t, coalesce(last_value(sure IGNORE NULLS) {OVER}, false) AS high FROM s"""
 
 
 def dwell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +140,6 @@ def zone_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (state_model_a, state_model_b, debounced_state, hysteresis_state, dwell_stats, transition_matrix_full, transition_matrix_changes, scale_relation_stats, state_entropy, volatility_regime, move_age, zone_machine)}
 ORACLES = {
     "state_model_a": f"{A_SQL} SELECT symbol, t, state FROM a", "state_model_b": B_SQL, "dwell_stats": DWELL_SQL, "transition_matrix_full": matrix_sql(""), "transition_matrix_changes": matrix_sql("AND before <> after"),
-    "scale_relation_stats": scale_sql(), "volatility_regime": REGIME_SQL,
+    "debounced_state": DEBOUNCED_SQL, "hysteresis_state": HYSTERESIS_SQL, "scale_relation_stats": scale_sql(), "volatility_regime": REGIME_SQL,
     "state_entropy": f"{A_SQL}, c AS (SELECT symbol, state, count(*) AS n FROM a GROUP BY ALL), p AS (SELECT symbol, n / sum(n) OVER (PARTITION BY symbol) AS p FROM c) SELECT symbol, round(-sum(p * log2(p)), 6) AS bits FROM p GROUP BY symbol",
 }

@@ -12,12 +12,14 @@ from tidemark.plans.features import CORE, OVER
 from tidemark.sources.bars import HOUR, bars
 
 FACTORS = (0.8, 1.0, 1.2)
-#: The events span 30 days from here; thirds of it are ten days each.
-START, THIRD = 1704067200, 864000
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = S.position(S.with_overlap(S.atr(bars(spark, sf_dir), strict=False), 4, "overlap4"))
+    return prepared_in(bars(spark, sf_dir))
+
+
+def prepared_in(rows: DataFrame) -> DataFrame:
+    x = S.position(S.with_overlap(S.atr(rows, strict=False), 4, "overlap4"))
     return x.withColumns({"step": F.col("close") - F.lag("close").over(S.order()), "range": F.col("high") - F.col("low")})
 
 
@@ -67,30 +69,35 @@ SELECT symbol, t, max(turn) {OVER} AS origin, i - max(turn) {OVER} AS age FROM y
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent of bars i-12..i-5, child of i-4..i: an adverse step, balance, then a step back in the parent's direction."""
-    x = prepared(spark, sf_dir)
+    return detected_in(bars(spark, sf_dir))
+
+
+def detected_in(rows: DataFrame) -> DataFrame:
+    """Parent of bars i-12..i-5, child of i-4..i: an adverse step within the child, balance, then a step back in the
+    parent's direction. intact: no close of the child lies beyond the parent's boundary."""
+    x = prepared_in(rows)
     lag = lambda c, n: F.lag(c, n).over(S.order())
     x = x.withColumn("side", F.when(lag("close", 5) >= lag("close", 12), 1).otherwise(-1)).where("i >= 0")
     adverse = F.lit(False)
-    for n in (1, 2, 3, 4):
+    for n in (0, 1, 2, 3):
         adverse = adverse | (F.col("side") * lag("step", n) < 0)
     parent = S.order().rowsBetween(-12, -5)
     boundary = F.when(F.col("side") > 0, F.min("low").over(parent)).otherwise(F.max("high").over(parent))
     child = S.order().rowsBetween(-4, 0)
-    intact = F.when(F.col("side") > 0, F.min("low").over(child) >= boundary).otherwise(F.max("high").over(child) <= boundary)
+    intact = F.when(F.col("side") > 0, F.min("close").over(child) >= boundary).otherwise(F.max("close").over(child) <= boundary)
     late, early = (F.col("range") + lag("range", 1)) / 2, (lag("range", 3) + lag("range", 4)) / 2
-    made = x.withColumns({"adverse": adverse, "boundary": boundary, "intact": intact, "late": late, "early": early, "push": F.try_divide(F.col("side") * F.col("step"), "atr")})
+    made = x.withColumns({"adverse": adverse, "boundary": boundary, "intact": intact, "late": late, "early": early, "push": F.col("side") * F.col("step") / F.greatest("atr", F.lit(1e-12))})
     rows = made.where("i >= 12 AND adverse").withColumn("factor", F.explode(F.array(*map(F.lit, FACTORS))))
     balance = (F.col("overlap4") >= 0.35 * F.col("factor")) | (F.col("late") <= F.col("early"))
     return rows.where(F.coalesce(balance, F.lit(False)) & (F.col("push") >= 0.5 * F.col("factor")))
 
 
-DETECTED_SQL = f"""{PREPARED_SQL}, l AS (SELECT *, CASE WHEN lag(close, 5) {OVER} >= lag(close, 12) {OVER} THEN 1 ELSE -1 END AS side, {", ".join(f"lag(step, {n}) {OVER} AS s{n}" for n in (1, 2, 3, 4))},
+DETECTED_SQL = f"""{PREPARED_SQL}, l AS (SELECT *, CASE WHEN lag(close, 5) {OVER} >= lag(close, 12) {OVER} THEN 1 ELSE -1 END AS side, {", ".join(f"lag(step, {n}) {OVER} AS s{n}" for n in (0, 1, 2, 3))},
   (range + lag(range, 1) {OVER}) / 2 AS late, (lag(range, 3) {OVER} + lag(range, 4) {OVER}) / 2 AS early,
-  min(low) OVER pw AS plow, max(high) OVER pw AS phigh, min(low) OVER cw AS clow, max(high) OVER cw AS chigh FROM p
+  min(low) OVER pw AS plow, max(high) OVER pw AS phigh, min(close) OVER cw AS clow, max(close) OVER cw AS chigh FROM p
   WINDOW pw AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 12 PRECEDING AND 5 PRECEDING), cw AS (PARTITION BY symbol ORDER BY t ROWS 4 PRECEDING)),
-det AS (SELECT *, CASE WHEN side > 0 THEN plow ELSE phigh END AS boundary, CASE WHEN side > 0 THEN clow >= plow ELSE chigh <= phigh END AS intact, side * step / nullif(atr, 0) AS push
-FROM l, (VALUES (0.8), (1.0), (1.2)) AS v(factor) WHERE i >= 12 AND (side * s1 < 0 OR side * s2 < 0 OR side * s3 < 0 OR side * s4 < 0) AND coalesce(overlap4 >= 0.35 * factor OR late <= early, false) AND side * step / nullif(atr, 0) >= 0.5 * factor)"""
+det AS (SELECT *, CASE WHEN side > 0 THEN plow ELSE phigh END AS boundary, CASE WHEN side > 0 THEN clow >= plow ELSE chigh <= phigh END AS intact, side * step / greatest(atr, 1e-12) AS push
+FROM l, (VALUES (0.8), (1.0), (1.2)) AS v(factor) WHERE i >= 12 AND (side * s0 < 0 OR side * s1 < 0 OR side * s2 < 0 OR side * s3 < 0) AND coalesce(overlap4 >= 0.35 * factor OR late <= early, false) AND side * step / greatest(atr, 1e-12) >= 0.5 * factor)"""
 
 
 def detector_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +123,33 @@ SELECT u.symbol, CAST(u.factor AS DOUBLE) AS factor, count(*) FILTER (WHERE k.t
 FROM u LEFT JOIN k ON k.symbol = u.symbol AND k.t = u.t AND k.factor = u.factor LEFT JOIN one ON one.symbol = u.symbol AND one.t = u.t GROUP BY u.symbol, u.factor"""
 
 
-def third(t):  # noqa: ANN001, ANN201
-    return F.least(F.lit(2), F.floor((t - START) / THIRD)).cast("long")
+def with_third(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows with the third (0 to 2) of the whole span of the bars `of` that t lies in."""
+    span = of.agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))  # one row
+    third = F.floor((F.col("t") - F.col("_t0")) * 3 / (F.col("_t1") - F.col("_t0") + 1)).cast("long")
+    return rows.join(F.broadcast(span)).withColumn("third", third).drop("_t0", "_t1")
+
+
+THIRD_SQL = "(SELECT min(t) AS t0, max(t) AS t1 FROM bars)"
+
+
+def third_sql(t: str = "t") -> str:
+    return f"CAST(({t} - t0) * 3 // (t1 - t0 + 1) AS BIGINT)"
 
 
 def thirds_by_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detected(spark, sf_dir).where("factor = 1.0").groupBy(third(F.col("t")).alias("third"), F.when(F.col("side") > 0, "UP").otherwise("DOWN").alias("direction")).agg(F.count("*").alias("n"))
+    hits = with_third(detected(spark, sf_dir).where("factor = 1.0"), bars(spark, sf_dir))
+    return hits.groupBy("third", F.when(F.col("side") > 0, "UP").otherwise("DOWN").alias("direction")).agg(F.count("*").alias("n"))
 
 
-THIRDS_SQL = f"""{DETECTED_SQL} SELECT CAST(least(2, (t - {START}) // {THIRD}) AS BIGINT) AS third, CASE WHEN side > 0 THEN 'UP' ELSE 'DOWN' END AS direction, count(*) AS n FROM det WHERE factor = 1 GROUP BY ALL"""
+THIRDS_SQL = f"""{DETECTED_SQL} SELECT {third_sql()} AS third, CASE WHEN side > 0 THEN 'UP' ELSE 'DOWN' END AS direction, count(*) AS n FROM det, {THIRD_SQL} WHERE factor = 1 GROUP BY ALL"""
 
 
 def episodes_and_free_bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cell = lambda x: x.withColumns({"hour": F.pmod(F.floor(F.col("t") / HOUR), F.lit(24)).cast("long"), "third": third(F.col("t"))})
+    every = bars(spark, sf_dir)
+    cell = lambda x: with_third(x.withColumn("hour", F.pmod(F.floor(F.col("t") / HOUR), F.lit(24)).cast("long")), every)
     events = detected(spark, sf_dir).where("factor = 1.0").select("symbol", "t", "side")
-    free = J.away_from(bars(spark, sf_dir).select("symbol", "t"), events, "t", "t", 8 * HOUR).select("symbol", "t")
+    free = J.away_from(every.select("symbol", "t"), events, "t", "t", 8 * HOUR).select("symbol", "t")
     return cell(events), cell(free)
 
 
@@ -143,8 +162,8 @@ def matched_controls_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "t", F.coalesce("control", F.lit(-1)).alias("control"), F.when(F.col("control").isNull(), "NO_EXACT_STRATUM_SUPPORT").otherwise("MATCHED").alias("status"))
 
 
-FREE_SQL = f"""{DETECTED_SQL}, ev AS (SELECT symbol, t, side, (t // 3600) % 24 AS hour, least(2, (t - {START}) // {THIRD}) AS third FROM det WHERE factor = 1),
-free AS (SELECT symbol, t AS control, (t // 3600) % 24 AS hour, least(2, (t - {START}) // {THIRD}) AS third FROM bars WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = bars.symbol AND abs(ev.t - bars.t) <= 28800))"""
+FREE_SQL = f"""{DETECTED_SQL}, ev AS (SELECT symbol, t, side, (t // 3600) % 24 AS hour, {third_sql()} AS third FROM det, {THIRD_SQL} WHERE factor = 1),
+free AS (SELECT symbol, t AS control, (t // 3600) % 24 AS hour, {third_sql()} AS third FROM bars, {THIRD_SQL} WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = bars.symbol AND abs(ev.t - bars.t) <= 28800))"""
 STRATIFIED_SQL = f"""{FREE_SQL}, m AS (SELECT ev.symbol, ev.t, arg_min(control, sha256(ev.symbol || '|' || ev.t || '|' || control)) AS control FROM ev LEFT JOIN free USING (symbol, hour, third) GROUP BY ALL)
 SELECT symbol, t, coalesce(control, -1) AS control, CASE WHEN control IS NULL THEN 'NO_EXACT_STRATUM_SUPPORT' ELSE 'MATCHED' END AS status FROM m"""
 
@@ -158,12 +177,13 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, x = matched_controls_stratified(spark, sf_dir).where("status = 'MATCHED'"), outcome(spark, sf_dir)
     side = detected(spark, sf_dir).where("factor = 1.0").select("symbol", "t", "side")
     both = m.join(side, ["symbol", "t"]).join(x.withColumnRenamed("x", "event_x"), ["symbol", "t"]).join(x.select("symbol", F.col("t").alias("control"), F.col("x").alias("control_x")), ["symbol", "control"])
-    return both.withColumns({"difference": F.col("side") * (F.col("event_x") - F.col("control_x")), "third": third(F.col("t"))}).where("difference IS NOT NULL")
+    both = both.withColumn("difference", F.col("side") * (F.col("event_x") - F.col("control_x"))).where("difference IS NOT NULL")
+    return with_third(both, bars(spark, sf_dir))
 
 
 CONTRAST_SQL = f"""{FREE_SQL}, m AS (SELECT ev.symbol, ev.t, ev.side, arg_min(control, sha256(ev.symbol || '|' || ev.t || '|' || control)) AS control FROM ev JOIN free USING (symbol, hour, third) GROUP BY ALL),
 y AS (SELECT symbol, t, (lead(close, 3) {OVER} - close) / nullif(atr, 0) AS x FROM p),
-c AS (SELECT m.symbol, m.t, m.control, m.side, m.side * (a.x - b.x) AS difference, least(2, (m.t - {START}) // {THIRD}) AS third FROM m JOIN y a ON a.symbol = m.symbol AND a.t = m.t JOIN y b ON b.symbol = m.symbol AND b.t = m.control WHERE a.x - b.x IS NOT NULL)"""
+c AS (SELECT m.symbol, m.t, m.control, m.side, m.side * (a.x - b.x) AS difference, {third_sql("m.t")} AS third FROM {THIRD_SQL} CROSS JOIN m JOIN y a ON a.symbol = m.symbol AND a.t = m.t JOIN y b ON b.symbol = m.symbol AND b.t = m.control WHERE a.x - b.x IS NOT NULL)"""
 
 
 def paired_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,30 +7,44 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators import machines as M
-from tidemark.plans.study import DETECTED_SQL, detected
+from tidemark.plans.study import DETECTED_SQL, detected_in
 from tidemark.plans.features import OVER
-from tidemark.sources.bars import bars
+from tidemark.sources.bars import bars, bars_sql, slot, table
 
 FEE = 0.002
+DAY, WEEK = 86400, 604800
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of prices by return flag, from the mean price of a unit on each day of shipment."""
+    day = F.unix_seconds(F.col("l_shipdate").cast("date").cast("timestamp"))
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol"), day.cast("long").alias("t")).agg(F.round(F.avg(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")) + 1e-9, 4).alias("price"), F.count("*").alias("n"))
+    return days.groupBy("symbol", slot(F.col("t"), WEEK).alias("w")).agg(
+        F.min_by("price", "t").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "t").alias("close"), F.sum("n").alias("volume"), F.sum("price").alias("turnover"),
+    ).withColumnRenamed("w", "t")
+
+
+WEEKLY_SQL = f"""SELECT symbol, d // {WEEK} * {WEEK} AS t, arg_min(price, d) AS open, max(price) AS high, min(price) AS low, arg_max(price, d) AS close, CAST(sum(n) AS BIGINT) AS volume, sum(price) AS turnover
+FROM (SELECT l_returnflag AS symbol, CAST(epoch(CAST(l_shipdate AS DATE)) AS BIGINT) AS d, round(avg(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) + 1e-9, 4) AS price, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY symbol, d // {WEEK} * {WEEK}"""
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every detection of factor 1: in at the next open, out at the close four bars later."""
-    x = bars(spark, sf_dir)
+    """Every detection of factor 1 in the weekly prices: in at the next open, out at the close four bars later."""
+    prices = weekly(spark, sf_dir)
+    x = prices
     after = S.order().rowsBetween(1, 4)
     x = x.select("symbol", "t", F.lead("open").over(S.order()).alias("entry"), F.lead("close", 4).over(S.order()).alias("exit"), F.max("high").over(after).alias("top"), F.min("low").over(after).alias("bottom"))
-    d = detected(spark, sf_dir).where("factor = 1.0").select("symbol", "t", "side")
+    d = detected_in(prices).where("factor = 1.0").select("symbol", "t", "side")
     rows = d.join(x, ["symbol", "t"]).where("exit IS NOT NULL AND entry > 0")
     gross = F.col("side") * (F.col("exit") / F.col("entry") - 1)
     best, worst = F.when(F.col("side") > 0, F.col("top")).otherwise(F.col("bottom")), F.when(F.col("side") > 0, F.col("bottom")).otherwise(F.col("top"))
-    # Prices of events are far apart; a tenth of the move keeps returns within the usual range.
-    small = lambda c: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c / 10)) + 0.0  # noqa: E731  no negative zero
-    return rows.select("symbol", "t", F.col("side").cast("long").alias("side"), "entry", "exit", small(gross).alias("gross"), (small(gross) - FEE).alias("net"), small(F.col("side") * (best / F.col("entry") - 1)).alias("mfe"), small(F.col("side") * (worst / F.col("entry") - 1)).alias("mae"))
+    plain = lambda c: c + 0.0  # noqa: E731  no negative zero
+    return rows.select("symbol", "t", F.col("side").cast("long").alias("side"), "entry", "exit", plain(gross).alias("gross"), (plain(gross) - FEE).alias("net"), plain(F.col("side") * (best / F.col("entry") - 1)).alias("mfe"), plain(F.col("side") * (worst / F.col("entry") - 1)).alias("mae"))
 
 
-T_SQL = f"""{DETECTED_SQL}, nx AS (SELECT symbol, t, lead(open) {OVER} AS entry, lead(close, 4) {OVER} AS exit, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+T_SQL = f"""{DETECTED_SQL.replace(bars_sql(), WEEKLY_SQL)}, nx AS (SELECT symbol, t, lead(open) {OVER} AS entry, lead(close, 4) {OVER} AS exit, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
 tr0 AS (SELECT det.symbol, det.t, CAST(side AS BIGINT) AS side, entry, exit, side * (exit / entry - 1) AS g, side * (CASE WHEN side > 0 THEN top ELSE bottom END / entry - 1) AS f, side * (CASE WHEN side > 0 THEN bottom ELSE top END / entry - 1) AS a FROM det JOIN nx ON det.symbol = nx.symbol AND det.t = nx.t WHERE factor = 1 AND exit IS NOT NULL AND entry > 0),
-trades AS (SELECT symbol, t, side, entry, exit, greatest(-0.5, least(0.5, g / 10)) + 0.0 AS gross, greatest(-0.5, least(0.5, g / 10)) - {FEE} AS net, greatest(-0.5, least(0.5, f / 10)) + 0.0 AS mfe, greatest(-0.5, least(0.5, a / 10)) + 0.0 AS mae FROM tr0)"""
+trades AS (SELECT symbol, t, side, entry, exit, g + 0.0 AS gross, g - {FEE} AS net, f + 0.0 AS mfe, a + 0.0 AS mae FROM tr0)"""
 
 
 def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,27 +60,35 @@ def factor(net: str = "net"):  # noqa: ANN201
 FACTOR = "CASE WHEN coalesce(-sum(CASE WHEN net < 0 THEN net END), 0) > 0 THEN coalesce(sum(CASE WHEN net > 0 THEN net END), 0) / -sum(CASE WHEN net < 0 THEN net END) WHEN sum(CASE WHEN net > 0 THEN net END) > 0 THEN 999.0 ELSE 0.0 END"
 
 
+def growth():  # noqa: ANN201
+    """Log growth of the capital; a loss of all of it or more leaves nothing."""
+    return F.when(F.col("net") > -1, F.ln(1 + F.col("net"))).otherwise(-1000.0)
+
+
+GROWTH = "CASE WHEN net > -1 THEN ln(1 + CASE WHEN net > -1 THEN net ELSE 0 END) ELSE -1000.0 END"
+
+
 def trades_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     capture = F.try_divide("net", F.nullif("mfe", F.lit(0.0)))
     return trades(spark, sf_dir).groupBy("symbol").agg(
         F.count("*").alias("n"), F.round(F.avg((F.col("net") > 0).cast("double")), 6).alias("win_rate"), F.round(factor(), 5).alias("profit_factor"), F.round(F.sum("net"), 6).alias("total"),
-        F.round(F.exp(F.sum(F.ln(1 + F.col("net")))) - 1, 5).alias("compounded"), F.round(F.percentile("net", 0.5), 6).alias("median"), F.round(F.avg(F.when(F.col("mfe") > 0.001, capture)), 4).alias("capture"),
+        F.round(F.exp(F.sum(growth())) - 1, 5).alias("compounded"), F.round(F.percentile("net", 0.5), 6).alias("median"), F.round(F.avg(F.when(F.col("mfe") > 0.001, capture)), 4).alias("capture"),
     )
 
 
-METRICS_SQL = f"""{T_SQL} SELECT symbol, count(*) AS n, round(avg(CAST(net > 0 AS DOUBLE)), 6) AS win_rate, round({FACTOR}, 5) AS profit_factor, round(sum(net), 6) AS total, round(exp(sum(ln(1 + net))) - 1, 5) AS compounded,
+METRICS_SQL = f"""{T_SQL} SELECT symbol, count(*) AS n, round(avg(CAST(net > 0 AS DOUBLE)), 6) AS win_rate, round({FACTOR}, 5) AS profit_factor, round(sum(net), 6) AS total, round(exp(sum({GROWTH})) - 1, 5) AS compounded,
 round(quantile_cont(net, 0.5), 6) AS median, round(avg(CASE WHEN mfe > 0.001 THEN net / mfe END), 4) AS capture FROM trades GROUP BY symbol"""
 
 
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest fall of compounded equity below its high, by symbol; equity starts at 1000."""
     order = S.order().rowsBetween(Window.unboundedPreceding, 0)
-    x = trades(spark, sf_dir).withColumn("log", F.sum(F.ln(1 + F.col("net"))).over(order))
+    x = trades(spark, sf_dir).withColumn("log", F.sum(growth()).over(order))
     x = x.withColumn("peak", F.greatest(F.lit(0.0), F.max("log").over(order)))
     return x.groupBy("symbol").agg(F.round(F.max(1 - F.exp(F.col("log") - F.col("peak"))), 6).alias("drawdown"), F.round(1000 * F.exp(F.max_by("log", "t")), 3).alias("equity"))
 
 
-DRAWDOWN_SQL = f"""{T_SQL}, lg AS (SELECT symbol, t, sum(ln(1 + net)) {OVER} AS log FROM trades), k AS (SELECT *, greatest(0, max(log) {OVER}) AS peak FROM lg)
+DRAWDOWN_SQL = f"""{T_SQL}, lg AS (SELECT symbol, t, sum({GROWTH}) {OVER} AS log FROM trades), k AS (SELECT *, greatest(0, max(log) {OVER}) AS peak FROM lg)
 SELECT symbol, round(max(1 - exp(log - peak)), 6) AS drawdown, round(1000 * exp(arg_max(log, t)), 3) AS equity FROM k GROUP BY symbol"""
 
 

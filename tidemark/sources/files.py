@@ -58,7 +58,8 @@ def publish(rows: DataFrame, staging: str, final: str, checks: DataFrame | None
 
 
 def canonical_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, digest): a digest of a table that doesn't depend on the order of rows."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """(rows, digest): a digest of a table that doesn't depend on the order of rows. Cells carry their lengths, nulls a mark of their own."""
+    cell = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    text = F.concat_ws("|", *[cell(c) for c in columns])
     parts = [F.conv(F.substring(F.sha2(text, 256), 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)") for k in range(4)]
     return rows.select(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).agg(F.count("*").alias("rows"), F.concat_ws("-", *[F.coalesce(F.sum(f"p{k}"), F.lit(0)).cast("string") for k in range(4)]).alias("digest"))

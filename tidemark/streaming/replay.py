@@ -3,6 +3,8 @@ state machines with the kernels of tidemark.operators.machines."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,6 +47,7 @@ def machine(stream: DataFrame, key: str, kernel: Callable[[], object], schema: s
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         k = pickle.loads(state.get[0]) if state.exists else kernel()  # noqa: S301  our own state
+        # A key's rows of one micro-batch are sorted together; the source's files_per_trigger bounds them.
         rows = pd.concat(list(batches)).sort_values("t").to_dict("records")
         out = [(keys[0], *x) for r in rows for x in k.step(r)]
         state.update((pickle.dumps(k),))
@@ -54,8 +57,13 @@ def machine(stream: DataFrame, key: str, kernel: Callable[[], object], schema: s
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", "kernel binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream emits for what its source holds now, as a table in memory; for replays and tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that a stream emits for what its source holds now, written to Parquet (with the checkpoint) under
+    folder, which the cluster shares: by default a new one in spark.checkpoint.dir."""
+    spark = stream.sparkSession
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="replay-")  # unset in local tests alone
+        folder = f"{shared}/replay-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
