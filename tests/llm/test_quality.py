@@ -29,7 +29,7 @@ def test_base_columns(spark):
 def test_order_is_by_rejections_per_cost_and_never_changes_verdicts(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rules = Q.bound(Q.BASE + Q.MORE, Q.text_features(F.col("text")))
-    assert sorted(n for n, _ in Q.in_order(Q.sample_of(docs), rules)) == sorted(n for n, _ in rules)
+    assert sorted(Q.in_order(Q.sample_of(docs), rules)) == sorted(n for n, _ in rules)
     kept = [sorted(r.doc_id for r in Q.cascade(docs, rs, "ok").where("ok").select("doc_id").collect()) for rs in (rules, rules[::-1])]
     assert kept[0] == kept[1]
     want = sorted(r.doc_id for r in Q.op5_quality(spark, "/root/testdata/sf0.001").where("kept").collect())
@@ -52,3 +52,8 @@ def test_edges(spark):
     assert Q.cascade(docs, []).where("kept").count() == 4
     assert Q.keep_good(docs).columns == docs.columns and Q.keep_good(docs).count() == 0
     assert Q.keep_good(docs.where("false")).count() == 0
+    clash = docs.selectExpr("*", "'x' AS n_words", "'y' AS lines", "'z' AS _both", "'k' AS kept")
+    made = Q.base_columns(clash)
+    assert sorted(made.columns) == sorted({*clash.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"})
+    assert {(r.doc_id, r.n_words, r._both) for r in made.collect()} == {(1, 0, "z"), (None, 0, "z"), (2, 3, "z")}
+    assert Q.cascade(clash, []).columns == clash.columns

@@ -6,7 +6,7 @@ per cost, as one CASE, so that a row which a cheap rule rejects never pays for t
 is kept if no rule rejects it, so the verdict is the same for every order and every sample.
 
 Null and empty texts have no words. Repeated rows and null ids each get their own row. Extra
-columns stay. Conditions that are null don't reject. An empty table keeps the given order.
+columns stay, but for those with the name of an output, which it replaces. Conditions that are null don't reject. An empty table keeps the given order.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, words
+from tidemark.llm.common import free_name, table, words
 
 #: Rows at most in the sample that orders the rules. It has no part in any verdict.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 300
 
 
 class Rule(NamedTuple):
@@ -37,7 +37,7 @@ BASE = (
 )
 MORE = (
     Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"]),
-    Rule("same_lines", lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
+    Rule("same_lines", lambda f: let(f["lines"], lambda x: 2 * x["same"] > x["n"])),
     Rule("capitals", lambda f: 10 * f["n_capitals"] > 4 * f["word_chars"]),
     Rule("word_length", lambda f: (f["word_chars"] < 3 * f["n_words"]) | (f["word_chars"] > 10 * f["n_words"])),
 )
@@ -59,27 +59,29 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(count)
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    """Every feature as an expression of the text."""
+def text_features(text: Column, w: Column | None = None) -> dict[str, Column]:
+    """Every feature as an expression of the text, and of its words w where they are at hand."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     return {
-        "n_words": F.size(words(text)).cast("long"),
+        "n_words": F.size(words(text) if w is None else w).cast("long"),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": let(words(text), repeat_words),
+        "lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("same"))),
+        "n_repeat_words": let(words(text), repeat_words) if w is None else repeat_words(w),
         "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
     }
 
 
 def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; the text is split once."""
+    """docs with n_words, word_chars, n_symbols, lines (n, same), n_dup_lines, n_repeat_words in place of columns
+    of these names; the text is split once."""
+    both, made = free_name("_both", docs), free_name("_lines", docs)
     f = text_features(F.col(text_col))
-    both = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
-    cells = {"_both": both} | {k: f[k] for k in ("word_chars", "n_symbols", "n_dup_lines")}
-    return docs.withColumns(cells).withColumns({"n_words": F.col("_both.n"), "n_repeat_words": F.col("_both.r")}).drop("_both")
+    pair = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
+    cells = docs.withColumns({both: pair, made: f["lines"], "word_chars": f["word_chars"], "n_symbols": f["n_symbols"]})
+    out = {"n_words": F.col(f"{both}.n"), "n_repeat_words": F.col(f"{both}.r"), "lines": F.col(made), "n_dup_lines": F.col(f"{made}.same")}
+    return cells.withColumns(out).drop(both, made)
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -87,27 +89,41 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return docs.where(mixed.bitwiseAND(F.lit(15)) == 0).limit(rows)
 
 
-def in_order(sample: DataFrame, rules: list[tuple[str, Column]]) -> list[tuple[str, Column]]:
-    """The rules by rejections per second on a sample, best first."""
+def in_order(sample: DataFrame, rules: list[tuple[str, Column]]) -> list[str]:
+    """The names of the rules by rejections per second on a sample, best first. A job costs something without any
+    rule as well: only what a rule adds counts as its cost."""
     sample = sample.persist()
+
+    def seconds(condition: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        hits = sample.agg(F.count_if(condition)).first()[0]
+        return time.perf_counter() - began, hits
+
     try:
-        n, worth = sample.count(), []
-        for k, (_, rejects) in enumerate(rules if n else []):
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(rejects)).first()[0]
-            worth.append((-hits / max(time.perf_counter() - began, 1e-6), k))
+        if not sample.count():
+            return [name for name, _ in rules]
+        nothing = min(seconds(F.lit(False))[0] for _ in range(2))
+        worth = []
+        for k, (name, rejects) in enumerate(rules):
+            (first, hits), (again, _) = seconds(rejects), seconds(rejects)
+            worth.append((-hits / max(min(first, again) - nothing, 1e-4), k, name))
     finally:
         sample.unpersist()
-    return [rules[k] for _, k in sorted(worth)] if worth else rules
+    return [name for _, _, name in sorted(worth)]
+
+
+def verdict(rules: list[tuple[str, Column]], names: list[str]) -> Column:
+    """True if no rule holds; the rules are asked in the order of names, up to the first that does."""
+    out, known = None, dict(rules)
+    for name in names:
+        out = F.when(known[name], False) if out is None else out.when(known[name], False)
+    return F.lit(True) if out is None else out.otherwise(True)
 
 
 def cascade(docs: DataFrame, rules: list[tuple[str, Column]], out: str = "kept", sample: DataFrame | None = None) -> DataFrame:
-    """docs with the boolean out: true if no rule (name, condition that rejects) holds. sample: rows
-    with the columns that the rules read; by default some of docs."""
-    verdict = None
-    for _, rejects in in_order(sample_of(docs) if sample is None else sample, rules):
-        verdict = F.when(rejects, False) if verdict is None else verdict.when(rejects, False)
-    return docs.withColumn(out, F.lit(True) if verdict is None else verdict.otherwise(True))
+    """docs with the boolean out (in place of a column of that name): true if no rule (name, condition that
+    rejects) holds. sample: rows with the columns that the rules read; by default some of docs."""
+    return docs.withColumn(out, verdict(rules, in_order(sample_of(docs) if sample is None else sample, rules)))
 
 
 def bound(rules: tuple[Rule, ...], features: Mapping[str, Column]) -> list[tuple[str, Column]]:
@@ -115,15 +131,17 @@ def bound(rules: tuple[Rule, ...], features: Mapping[str, Column]) -> list[tuple
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The rows that no rule rejects, with the columns of docs."""
-    flag = "_kept" + "_" * max(map(len, docs.columns), default=0)
-    return cascade(docs, bound(rules, text_features(F.col(text_col))), flag).where(F.col(flag)).drop(flag)
+    """The rows that no rule rejects, with the columns of docs. Words are split once, before the rules."""
+    text = F.col(text_col)
+    sample = sample_of(docs.select(text.alias("text"))).select("text", words(F.col("text")).alias("w"))
+    names = in_order(sample, bound(rules, text_features(F.col("text"), F.col("w"))))
+    return docs.where(let(words(text), lambda w: verdict(bound(rules, text_features(text, w)), names)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs, sample = base_columns(source), base_columns(sample_of(source))
-    own = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    own = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")}
     features = text_features(F.col("text")) | own
     judged = cascade(docs, bound(BASE + MORE, features), sample=sample)
     failed = F.lit(False)
