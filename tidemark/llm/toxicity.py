@@ -16,6 +16,8 @@ of a logistic model, fitted on labelled rows with a prior that misspelled terms
 Null and empty texts have no hits and get the score of such texts. Ties and repeated rows are scored
 alike. Rows of labels with null id or label are left out; of several labels of an id the highest
 holds. Without any toxic label all scores are low. Extra columns stay.
+
+Bounds of the lexicon: MAX_TERMS terms, the most frequent in toxic rows first, of words of 3 to 40 characters.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, held_out, table
+from tidemark.llm.common import cut, free_name, held_out, table
 
 #: Labelled rows at most that the model is fitted on.
 FIT_ROWS = 20_000
@@ -43,7 +45,7 @@ MAX_TERMS = 2_000
 EVIDENCE, FUZZY_EVIDENCE = 16.0, 30.0
 WINDOW = 48
 THRESHOLD = 0.3
-FLUSH, CACHE = 200_000, 200_000
+FLUSH, CACHE, STATES = 200_000, 200_000, 50_000
 WORD = re.compile(r"\w+")
 
 #: Quotation marks that open and close, and words of report in the tables' languages.
@@ -55,7 +57,13 @@ REPORT = frozenset(
 
 def edits(term: str) -> int:
     """The edit budget of a whole word."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def plain(term: str) -> bool:
+    """Whether any word within the budget counts. Of terms of four letters so many words are one edit away that
+    only those with a digit or an underscore do."""
+    return len(term) > 4
 
 
 def family(text: str | None) -> int:
@@ -86,13 +94,19 @@ class Matcher:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], budget)
             self.ends.setdefault(node, []).append(k)
+        self.forget()
+        self.found: dict[str, tuple[int, int] | None] = {}
+
+    def forget(self) -> None:
+        """Drops all states made so far; they are made again when met."""
         self.states: dict[frozenset, int] = {}
         self.arcs: list[dict[str, int]] = []
         self.sets: list[dict[int, int]] = []
         self.stem_at: list[int] = []
+        #: Best (edits, term) where a word ends: of all, and of short terms for words with other signs than letters.
         self.word_at: list[tuple[int, int] | None] = []
+        self.sign_at: list[tuple[int, int] | None] = []
         self.start = self._state({0: 0})
-        self.found: dict[str, tuple[int, int] | None] = {}
 
     def budget(self, k: int) -> int:
         term, stem, fuzzy = self.terms[k]
@@ -114,7 +128,10 @@ class Matcher:
             self.sets.append(at)
             ended = [(e, k) for node, e in at.items() for k in self.ends.get(node, ()) if e <= self.budget(k)]
             self.stem_at.append(min([k for e, k in ended if self.terms[k][1]], default=-1))
-            self.word_at.append(min([x for x in ended if not self.terms[x[1]][1]], default=None))
+            words = [x for x in ended if not self.terms[x[1]][1]]
+            sure = [x for x in words if not x[0] or plain(self.terms[x[1]][0])]
+            self.word_at.append(min(sure, default=None))
+            self.sign_at.append(min(words, default=None))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -142,7 +159,7 @@ class Matcher:
             self._last = state
             if stem < 0:
                 stem = self.stem_at[state]
-        best = self.word_at[state] if state >= 0 else None
+        best = None if state < 0 else self.word_at[state] if word.isalpha() else self.sign_at[state]
         if stem >= 0 and (best is None or best[0] > 0):
             best = (0, stem)
         return None if best is None or best[0] and word in self.harmless else best
@@ -154,11 +171,25 @@ class Matcher:
             return self.found[word]
         if len(self.found) >= CACHE:
             self.found.clear()
+        if len(self.arcs) >= STATES:
+            self.forget()
         self._last = self.start
         self.found[word] = out = self.match(word)
         return out
 
 
+_matchers: dict[int, Matcher] = {}
+
+
+def matcher_of(terms: list[tuple[str, bool, bool]], harmless: frozenset[str]) -> Matcher:
+    """One matcher for each worker, with its states."""
+    key = hash((tuple(terms), harmless))
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(terms, harmless)
+    return _matchers[key]
+
+
 def is_quoted(text: str, begin: int, end: int) -> bool:
     """Whether the window around text[begin:end] marks a quotation."""
     left, right = text[max(0, begin - WINDOW) : begin], text[end : end + WINDOW]
@@ -225,10 +256,11 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def chosen(counts: list[tuple[str, bool, int, bool]]) -> list[tuple[str, bool, bool]]:
-    """Terms that add to the rows covered: longest first among equals, stems over the words they begin."""
+    """Terms that add to the rows covered: longest first among equals, stems over the words they begin. Words
+    whose misspellings are sought stay beside their stem, since stems match with no edit."""
     out: list[tuple[str, bool, int, bool]] = []
     for term, stem, bad, fuzzy in sorted(counts, key=lambda x: (-x[2], x[1], -len(x[0]), x[0])):
-        covered = any(s and term.startswith(t) for t, s, _, _ in out)
+        covered = (stem or not fuzzy) and any(s and term.startswith(t) for t, s, _, _ in out)
         same = stem and any(t.startswith(term) and bad <= 1.1 * b for t, _, b, _ in out)
         if not covered and not same:
             out.append((term, stem, bad, fuzzy))
@@ -260,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.least(F.max("_y"), F.lit(1)).alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     # At most fit_rows pairs of numbers, so safe to broadcast.
-    picked = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select(docs[text_col].cast("string").alias("text"), F.col("_y").alias("y"), (F.crc32(F.col("_id").cast("string").cast("binary")) % 8 < 4).alias("half"))
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id").select("text", F.col("_y").alias("y"), (F.crc32(F.col("_id").cast("string").cast("binary")) % 8 < 4).alias("half"))
     # Near copies would pass for independent evidence: of each family and label, one row is learnt from.
     rows = cut(picked.withColumn("family", family_of(F.col("text"))).groupBy("family", "y").agg(F.min_by(F.struct("text", "half"), "text").alias("row")).select("row.text", "y", "row.half"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -272,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def inputs(harmless: frozenset[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(terms, harmless)
+            matcher = matcher_of(terms, harmless)
             for batch in batches:
                 got = [features(t, matcher) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.string())), batch.column(1), batch.column(2)], names=["x", "forms", "y", "half"])
@@ -292,12 +324,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the double out from 0 to 1."""
+    """docs with the double out from 0 to 1, in place of a column of that name."""
     learnt = docs.sparkSession.sparkContext.broadcast((model.terms, model.harmless))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(*learnt.value)
+        matcher = matcher_of(*learnt.value)
         for texts in batches:
             yield pd.Series(model.scores(np.array([features(t, matcher)[0] for t in texts]).reshape(-1, FEATURES)))
 
@@ -306,7 +338,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that score below THRESHOLD, with the columns of docs; held-out labels aren't read."""
-    flag = "_score" + "_" * max(map(len, docs.columns), default=0)
+    flag = free_name("_score", docs)
     model = learn(docs, labels.where(~held_out(F.col(id_col))), id_col, text_col)
     return scored(docs, model, text_col, flag).where(F.col(flag) < THRESHOLD).drop(flag)
 
