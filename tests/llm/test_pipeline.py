@@ -1,7 +1,7 @@
 import numpy as np
 import sentencepiece
 from test_quality import brute as quality_of
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_kept
 
 import corpus_pipeline as P
 from tidemark.llm import pieces, quality, toxicity
@@ -28,8 +28,7 @@ def test_against_brute_force(spark):
     assert all(k in after for k, r in before.items() if r.lang == "en" and not toxicity.features(r.text, toxicity.Matcher([(w, False, True) for w in lexicon]))[0].any())
     before, after = rows["simhash"]
     ids = sorted(before)
-    groups = brute_components([(k, brute_fingerprint(before[k].text)) for k in ids])
-    assert set(after) == set(groups)
+    assert set(after) == brute_kept([(k, before[k].text) for k in ids])[0]
     before, after = rows["decontamination"]
     items = [r.text for r in table(spark, d, "benchmark").collect()]
     assert not [k for k, r in after.items() if any(i in r.text for i in items)]
@@ -37,3 +36,15 @@ def test_against_brute_force(spark):
     before, after = rows["pieces"]
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     assert set(before) == set(after) and all(r.round_trip and np.array_equal(r.ids, model.encode(r.text)) for r in after.values())
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    d = "/root/testdata/sf0.001"
+    extra = ["_kept", "_score", "_id", "_y", "kept_id", "kept_th", "_leaks", "n_words", "w", "score", "leaks"]
+    docs = table(spark, d, "documents").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in extra])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra), name
+    last = P.token_ids(spark, docs.selectExpr("*", "1 AS ids", "2 AS decoded", "3 AS round_trip"), d)
+    assert sorted(last.columns) == sorted([*docs.columns, "ids", "n_tokens", "round_trip"]) and all(r.round_trip is True for r in last.collect())

@@ -47,3 +47,10 @@ def test_segments_by_brute_force():
     assert sorted(got.values()) == [4, 5, 5]
     for arc, k in enumerate(counts):
         assert sorted(x for i, a, b, _, _ in segs for x in range(a, b) if i == arc) == list(range(k))
+
+
+def test_columns_named_like_the_outputs_are_replaced(spark):
+    rows = spark.range(40).select("id", F.lit("x").alias("shard"), F.lit("y").alias("SLOT"), F.lit("z").alias("_pos"))
+    out = H.assign(rows, F.col("id"), F.col("id"), 4)
+    assert out.columns == ["id", "_pos", "shard", "slot"]
+    assert sorted(r.shard for r in out.collect()) == sorted(k % 4 for k in range(40))

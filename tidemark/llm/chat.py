@@ -70,8 +70,11 @@ def render(turns: DataFrame, **columns: str) -> DataFrame:
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     lines = rows.join(keep, rows["conv_id"].eqNullSafe(F.col("c"))).select("conv_id", "block", "n", "n_equal", F.struct("turn", "role", "hash", turn.alias("line")).alias("line"))
     parts = lines.groupBy("conv_id", "block", "n", "n_equal").agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["line"]), "").alias("text"))
-    numbers = parts.select("conv_id", "block", "n", "n_equal", "text", (F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1).cast("int").alias("part"))
-    return numbers.select("conv_id", "part", F.col("n").alias("n_turns"), "n_equal", "text")
+    # Blocks are numbered by themselves, without their texts.
+    blocks = rows.select("conv_id", "block").distinct()
+    numbers = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1).cast("int").alias("part"))
+    numbered = parts.join(numbers, parts["conv_id"].eqNullSafe(F.col("c")) & (parts["block"] == F.col("b")))
+    return numbered.select("conv_id", "part", F.col("n").alias("n_turns"), "n_equal", "text")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

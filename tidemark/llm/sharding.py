@@ -25,7 +25,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import others, table
 
 RING_BITS = 14
 NODES = 32
@@ -78,11 +78,12 @@ def small_table(spark: SparkSession, rows: list[tuple], names: str, schema: str)
 
 
 def assign(rows: DataFrame, key: Column, id_: Column, shards: int, nodes: int = NODES) -> DataFrame:
-    """rows with shard and slot (gapless from 0 in each shard)."""
+    """rows with shard and slot (gapless from 0 in each shard), in place of columns of these names."""
     spark = rows.sparkSession
     owner, arcs = arc_of_slots(shards, nodes)
     arc_list = F.split(F.lit(",".join(map(str, arcs))), ",").cast("array<int>")
-    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")  # so that no name of it can clash
+    kept = [F.col(f"`{c}`") for c in others(rows, "shard", "slot")]
+    own = F.struct(*kept or [F.lit(None).cast("int").alias("none")]).alias("_row")  # so that no name of it can clash
     placed = rows.select(own, F.xxhash64(key).alias("_pos"), F.xxhash64(id_).bitwiseAND(F.lit(SALTS - 1)).cast("int").alias("_salt"), id_.alias("_id"))
     placed = placed.withColumn("_slot", F.shiftrightunsigned("_pos", 64 - RING_BITS).cast("int")).withColumn("_arc", F.get(arc_list, F.col("_slot")))
     cells = placed.groupBy("_arc", "_slot", "_salt").agg(F.count("*").alias("n"))
@@ -96,7 +97,7 @@ def assign(rows: DataFrame, key: Column, id_: Column, shards: int, nodes: int =
     rank = F.col("_rank") + F.col("_offset")
     # The segments are shards * nodes, and a few for overflow: fixed by parameters, so safe to broadcast.
     joined = ranked.join(F.broadcast(found), (F.col("_arc") == F.col("arc")) & (rank >= F.col("first")) & (rank < F.col("end")))
-    return joined.select("_row.*", "shard", (F.col("first_slot") + rank - F.col("first")).alias("slot"))
+    return joined.select(*(["_row.*"] if kept else []), "shard", (F.col("first_slot") + rank - F.col("first")).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

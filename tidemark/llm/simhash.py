@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, free_name, table
 
 #: Bits that may differ between linked fingerprints. The key scheme holds for up to 2.
 MAX_BITS = 2
@@ -204,10 +204,11 @@ def chosen(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Dat
     """The rows of docs that name their components; found: (id, th, fp, component) of each row."""
     best = F.struct("th", F.lit(0))
     rows = found.where(rep_of(F.col("id"), F.col("fp")) == F.col("component"))
-    chosen = cut(rows.groupBy("component").agg(F.min(best).alias("best"), F.min("id").alias("kept_id"), F.count("*").alias("n")).select("kept_id", F.col("best.th").alias("kept_th"), "n"))
-    match = docs[id_col].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("kept_th"))
-    once = docs.join(chosen.where("n = 1"), match, "left_semi")
-    return once.unionByName(docs.join(chosen.where("n > 1"), match, "left_semi").dropDuplicates([id_col, text_col]))
+    chosen = cut(rows.groupBy("component").agg(F.min(best).alias("best"), F.min("id").alias("low"), F.count("*").alias("n")))
+    kept_id, kept_th = free_name("kept_id", docs), free_name("kept_th", docs)
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(kept_th))
+    own = lambda which: docs.join(chosen.where(which).select(F.col("low").alias(kept_id), F.col("best.th").alias(kept_th)), match, "left_semi")
+    return own("n = 1").unionByName(own("n > 1").dropDuplicates([id_col, text_col]))
 
 
 def hex_of(fp: Column) -> Column:
