@@ -66,10 +66,10 @@ class Table:
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Adds different keys that aren't there."""
         self.n += len(keys)
-        if 3 * self.n > 1 << self.bits:
+        if 2 * self.n > 1 << self.bits:
             own = self.values >= 0
             keys, values = np.concatenate((self.keys[own], keys)), np.concatenate((self.values[own], values))
-            self.bits = max(10, int(4 * self.n).bit_length())
+            self.bits = max(10, int(3 * self.n).bit_length())
             self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         slots, left = self._slots(keys), np.arange(len(keys))
         while len(left):

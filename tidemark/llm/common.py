@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+_kept: list[tuple[object, object]] = []
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What make() made for this key, kept by the Python worker for its next tasks: one object at a time, so
+    that a worker that goes on to another operator holds nothing of the last."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
 def held_out(key: Column) -> Column:
     """crc32 of the key as text, modulo 4, is 2. A null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import END_CODE, Table, by_size, codes_of
-from tidemark.llm.common import held_out, table
+from tidemark.llm.common import held_out, kept_by_worker, table
 
 LANG_CHARS, TOTAL_CHARS = 20_000, 400_000
 SAMPLE_ROWS, PIECE = 120, 200
@@ -171,16 +171,9 @@ def training_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return {k: " ".join(p for _, p in sorted(v))[:room] for k, v in pieces.items()}
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def parser_of(training: dict[str, str]) -> Parser:
     """One parser for each worker and training."""
-    key = hash(tuple(sorted(training.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(training)
-    return _parsers[key]
+    return kept_by_worker(("langid", tuple(sorted(training.items()))), lambda: Parser(training))
 
 
 def identified(docs: DataFrame, training: dict[str, str], text_col: str = "text", out: str = "language") -> DataFrame:

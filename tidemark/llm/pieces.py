@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrays import END_CODE, Store, Table, by_size, codes_of, spread
-from tidemark.llm.common import others, table
+from tidemark.llm.common import kept_by_worker, others, table
 
 SPACE_MARK = "▁"
 #: Strings and pair weights that a worker keeps, characters of both the strings and a batch, and the longest
 #: string that paths() takes.
-KEEP, KEEP_CHARS, KEEP_PAIRS, BATCH_CHARS, LONG = 500_000, 12_000_000, 1_000_000, 1 << 20, 48
+KEEP, KEEP_CHARS, KEEP_PAIRS, BATCH_CHARS, LONG = 300_000, 6_000_000, 400_000, 1 << 19, 48
 FAR = np.int32(1 << 30)
 
 
@@ -288,15 +288,9 @@ class Transducer:
         return self.decode_all(ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
-_machines: dict[str, Transducer] = {}
-
-
 def machine(path: str) -> Transducer:
     """One transducer for each worker and model."""
-    if path not in _machines:
-        _machines.clear()
-        _machines[path] = Transducer(path)
-    return _machines[path]
+    return kept_by_worker(("pieces", path), lambda: Transducer(path))
 
 
 #: What tokenized() can add, and the types.

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import END_CODE, Store, codes_of, spread
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import kept_by_worker, shared_folder, table
 
 END = 0
 SHARD_TOKENS = 2_000_000
@@ -173,15 +173,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """One encoder for each worker and model, with its store."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_by_worker(("tokenfile", path), lambda: Encoder(path))
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, held_out, table
+from tidemark.llm.common import cut, free_name, held_out, kept_by_worker, table
 
 #: Labelled rows at most that the model is fitted on.
 FIT_ROWS = 20_000
@@ -45,7 +45,7 @@ MAX_TERMS = 2_000
 EVIDENCE, FUZZY_EVIDENCE = 16.0, 30.0
 WINDOW = 48
 THRESHOLD = 0.3
-FLUSH, CACHE, STATES = 200_000, 200_000, 50_000
+FLUSH, CACHE, STATES = 200_000, 100_000, 20_000
 WORD = re.compile(r"\w+")
 
 #: Quotation marks that open and close, and words of report in the tables' languages.
@@ -178,16 +178,9 @@ class Matcher:
         return out
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def matcher_of(terms: list[tuple[str, bool, bool]], harmless: frozenset[str]) -> Matcher:
     """One matcher for each worker, with its states."""
-    key = hash((tuple(terms), harmless))
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(terms, harmless)
-    return _matchers[key]
+    return kept_by_worker(("toxicity", tuple(terms), harmless), lambda: Matcher(terms, harmless))
 
 
 def is_quoted(text: str, begin: int, end: int) -> bool:
