@@ -93,7 +93,8 @@ class Parser:
         #: Classes of characters: 0 is all that is no letter, the last one letters without training text.
         letters = sorted({c for t in training.values() for c in t.lower() if c.isalpha()})
         self.n_classes = len(letters) + 2
-        self.classes = np.array([(len(letters) + 1) * chr(c).isalpha() for c in range(END_CODE)] + [0], np.uint32)
+        kind = np.uint16 if self.n_classes <= 1 << 16 else np.uint32
+        self.classes = np.array([(len(letters) + 1) * chr(c).isalpha() for c in range(END_CODE)] + [0], kind)
         self.classes[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
         self.automata = [SuffixAutomaton(self.read([training[k]])[0].tolist()) for k in self.langs]
         self.first = np.cumsum([0, *[len(a.next) for a in self.automata]])[:-1]
