@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import stats as X
 from tidemark.plans.states import A_SQL, model_a
-from tidemark.plans.study import OBSERVED_SQL, observed, outcome
+from tidemark.plans.study import OBSERVED_SQL, observed, outcome, with_third
+from tidemark.sources.bars import bars
 
 LABELLED_SQL = f"{OBSERVED_SQL}, y AS (SELECT symbol, t, (lead(close, 3) OVER (PARTITION BY symbol ORDER BY t) - close) / nullif(atr, 0) AS x FROM p), z AS (SELECT ob.symbol, ob.t, displacement8, efficiency8, range32, x, CAST(x > 0 AS BIGINT) AS up FROM ob JOIN y ON ob.symbol = y.symbol AND ob.t = y.t WHERE x IS NOT NULL)"
 
@@ -95,9 +96,7 @@ def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tidemark.plans.study import third
-
-    x = labelled(spark, sf_dir).na.drop(subset=["displacement8", "efficiency8", "range32"]).withColumn("third", third(F.col("t")))
+    x = with_third(labelled(spark, sf_dir), bars(spark, sf_dir)).na.drop(subset=["displacement8", "efficiency8", "range32"])
     x, out = VectorAssembler(inputCols=["displacement8", "efficiency8", "range32"], outputCol="features").transform(x).cache(), None
     for k in range(3):
         model = LogisticRegression(labelCol="up", regParam=0.1).fit(x.where(F.col("third") != k))
