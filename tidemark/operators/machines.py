@@ -191,4 +191,43 @@ class Backtest:
         return [self.out(self.last["t"], self.last["close"], "END")] if self.position else []
 
 
+class CoolDown:
+    """Keeps a candidate `any_` rows after the last one kept and `same` rows after the last of its direction."""
+
+    def __init__(self, any_: int = 6, same: int = 12) -> None:
+        self.any, self.same, self.last, self.of = any_, same, None, {}
+
+    def step(self, row: dict) -> list[tuple]:
+        i, way = row["i"], row["direction"]
+        if self.last is not None and i - self.last < self.any or way in self.of and i - self.of[way] < self.same:
+            return []
+        self.last = self.of[way] = i
+        return [(row["t"], i, way)]
+
+    def close(self) -> list[tuple]:
+        return []
+
+
+class Backbone:
+    """A state is taken on after two rows that propose it, after three from LOST to ACTIVE; WARMUP, TRANSITION and
+    a LOST steeper than `steep` count at once."""
+
+    def __init__(self, steep: float = -1.5) -> None:
+        self.steep, self.state, self.candidate, self.n = steep, "WARMUP", None, 0
+
+    def step(self, row: dict) -> list[tuple]:
+        base = row["base"]
+        if base in ("WARMUP", "TRANSITION") or base == self.state or base == "LOST" and row["slope"] < self.steep:
+            self.state, self.candidate, self.n = base, None, 0
+        else:
+            self.n = self.n + 1 if base == self.candidate else 1
+            self.candidate = base
+            if self.n >= (3 if (self.state, base) == ("LOST", "ACTIVE") else 2):
+                self.state, self.candidate, self.n = base, None, 0
+        return [(row["t"], base, self.state)]
+
+    def close(self) -> list[tuple]:
+        return []
+
+
 TRADE = "entry_t long, exit_t long, side int, entry double, exit double, reason string, bars int, gross double, net double, mfe double, mae double"

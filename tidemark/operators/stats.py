@@ -59,7 +59,8 @@ def ks_distance(rows: DataFrame, value: str, group: str, by: str) -> DataFrame:
 
 def bootstrap_mean(rows: DataFrame, value: str, by: str, replicates: int = 200, seed: int = 7) -> DataFrame:
     """(by, low, high): the 5 and 95 percent points of resampled means. Each row draws its Poisson weight
-    for each replicate, so no group is gathered; only (by, replicate) sums are shuffled."""
+    for each replicate from its content, so no group is gathered and only (by, replicate) sums are shuffled;
+    rows need a column that tells repeated ones apart, or these draw together."""
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(by), F.col("_id"), F.col("replicate")), F.lit(1_000_003)) + 0.5) / 1_000_003
     weight, cdf, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(8):

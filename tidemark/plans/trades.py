@@ -140,7 +140,7 @@ def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = x.select(F.concat_ws("@", "symbol", F.lit(str(stop))).alias("key"), "t", "open", "high", "low", "close", "side", "signal", "atr_before")
         part = M.run(rows, "key", ["t"], lambda stop=stop: M.Backtest(stop), M.TRADE)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("key", "entry_t", "exit_t", "side", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("entry", "exit")], "reason", "bars", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("gross", "net", "mfe", "mae")])
 
 
 QUERIES = {f.__name__: f for f in (trade_list, trades_metrics, max_drawdown, profit_concentration, cost_stress, block_metrics, side_pivot, backtest_grid)}
