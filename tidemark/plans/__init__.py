@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "reconcile", "trades", "stats", "replay")
+MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "picks", "reconcile", "trades", "stats", "replay")
 
 
 def gathered(kind: str) -> dict:
