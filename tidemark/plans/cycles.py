@@ -96,7 +96,7 @@ def generated_events(spark: SparkSession, sf_dir: str, most_crosses: int = 30) -
     back = lambda c, n=1: F.lag(c, n).over(S.order())
     x = S.position(x).withColumns({"gap": F.col("close") - F.col("near"), "above": F.signum(F.round(F.col("close") - F.col("far"), 9))})
     x = x.withColumn("crossed", F.when(F.col("above") * back("above") < 0, 1).otherwise(0))
-    x = x.withColumns({"move": F.round((F.col("close") - back("close", 29)) / F.col("atr"), 9), "step": F.col("close") - back("close"), "closing": F.round(F.col("gap") - back("gap", 3), 9), "from": F.round(F.col("gap") / F.col("atr"), 9), "crosses": F.sum("crossed").over(S.last(49))})
+    x = x.withColumns({"move": F.round(F.try_divide(F.col("close") - back("close", 29), "atr"), 9), "step": F.col("close") - back("close"), "closing": F.round(F.col("gap") - back("gap", 3), 9), "from": F.round(F.try_divide("gap", "atr"), 9), "crosses": F.sum("crossed").over(S.last(49))})
     calm = (F.col("i") >= 50) & (F.col("crosses") <= most_crosses) & (F.col("atr") > 0)
     up = calm & (F.col("move") <= -2) & (F.col("step") > 0) & (F.col("closing") > 0) & (F.col("from") >= -1.5)
     down = calm & (F.col("move") >= 2) & (F.col("step") < 0) & (F.col("closing") < 0) & (F.col("from") <= 1.5)
