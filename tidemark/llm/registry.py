@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "pieces", "urls", "quality", "sharding", "chat", "decontam", "tokenfile", "langid", "embeddings", "repair")
+MODULES = ("simhash", "toxicity", "pieces", "urls", "quality", "sharding", "chat", "decontam", "tokenfile", "langid", "embeddings", "repair", "trie")
 
 
 def queries() -> dict:
