@@ -16,6 +16,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 def run(rows: DataFrame, key: str, order: list[str], kernel: Callable[[], object], schema: str) -> DataFrame:
     """(key, *schema): what the kernel of each key makes of its rows in order."""
+    return run_by_key(rows, key, order, lambda _: kernel(), schema)
+
+
+def run_by_key(rows: DataFrame, key: str, order: list[str], kernel: Callable[[object], object], schema: str) -> DataFrame:
+    """run() with a kernel that depends on the key."""
     columns = rows.columns
     types: StructType = _parse_datatype_string(f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
     arrow = to_arrow_schema(types)
@@ -32,7 +37,7 @@ def run(rows: DataFrame, key: str, order: list[str], kernel: Callable[[], object
                 if machine is None or row[key] != now:
                     if machine is not None:
                         out += [(now, *x) for x in machine.close()]
-                    now, machine = row[key], kernel()
+                    now, machine = row[key], kernel(row[key])
                 out += [(now, *x) for x in machine.step(row)]
             if out:
                 yield batch_of(out)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "picks", "outcomes", "reconcile", "trades", "stats", "replay")
+MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "picks", "outcomes", "reconcile", "trades", "stats", "replay", "zones")
 
 
 def gathered(kind: str) -> dict:
