@@ -78,37 +78,6 @@ z AS (SELECT symbol, t, max(k) AS k, arg_max(net, k) AS net FROM e GROUP BY symb
 SELECT f.symbol, f.t, rule, coalesce(f.k, z.k) AS bars, round(coalesce(f.v, z.net) + 1e-9, 5) AS result FROM f JOIN z USING (symbol, t) UNION ALL SELECT symbol, t, 'HOLD', k, round(net + 1e-9, 5) FROM z"""
 
 
-def window_resolution(spark: SparkSession, sf_dir: str, most: int = 24) -> DataFrame:
-    """Where a direction turns to TRANSITION: whether three of four later bars return to it (RECOVERED) or take the other (NEW) first, within `most` bars."""
-    x = model_a(spark, sf_dir).select("symbol", "t", "state", F.lag("state").over(S.order()).alias("old"), F.collect_list("state").over(S.order().rowsBetween(1, most)).alias("next"))
-    e = x.where("state = 'TRANSITION' AND old <> 'TRANSITION'").select("symbol", "t", "old", F.posexplode_outer("next").alias("k", "s"))
-    four = Window.partitionBy("symbol", "t").orderBy("k").rowsBetween(-3, 0)
-    count = lambda c: F.sum(c.cast("int")).over(four) >= 3
-    other = F.when(F.col("old") == "UP", "DOWN").otherwise("UP")
-    e = e.withColumn("kind", F.when(count(F.col("s") == F.col("old")), "RECOVERED").when(count(F.col("s") == other), "NEW"))
-    first = F.min(F.when(F.col("kind").isNotNull(), F.struct("k", "kind")))
-    return e.groupBy("symbol", "t", "old").agg(first.alias("f")).select("symbol", "t", "old", F.coalesce("f.kind", F.lit("UNRESOLVED")).alias("resolution"), (F.col("f.k") + 1).cast("long").alias("bars"))
-
-
-RESOLUTION_SQL = f"""{A_SQL}, q AS (SELECT symbol, t, state, row_number() {OVER} AS i, lag(state) {OVER} AS old FROM a), ev AS (SELECT o.symbol, o.t, o.old, n.i - o.i AS k, n.state AS s FROM q o LEFT JOIN q n ON n.symbol = o.symbol AND n.i BETWEEN o.i + 1 AND o.i + 24 WHERE o.state = 'TRANSITION' AND o.old <> 'TRANSITION'),
-cnt AS (SELECT *, sum(CAST(s = old AS INT)) OVER w >= 3 AS back, sum(CAST(s = CASE WHEN old = 'UP' THEN 'DOWN' ELSE 'UP' END AS INT)) OVER w >= 3 AS other FROM ev WINDOW w AS (PARTITION BY symbol, t ORDER BY k ROWS 3 PRECEDING))
-SELECT symbol, t, old, coalesce(arg_min(CASE WHEN back THEN 'RECOVERED' ELSE 'NEW' END, k) FILTER (WHERE back OR other), 'UNRESOLVED') AS resolution, min(k) FILTER (WHERE back OR other) AS bars FROM cnt GROUP BY symbol, t, old"""
-
-
-def recovery_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six facts in each detection's direction (step, close beyond the fast average, order of the averages, both slopes, a wide range): STRONG from five, MODERATE from three, else WEAK."""
-    x = S.atr(model_a(spark, sf_dir), strict=False).withColumn("step", F.col("close") - F.lag("close").over(S.order())).join(hits(spark, sf_dir).withColumnRenamed("side", "way"), ["symbol", "t"])
-    along = lambda c: F.round(F.col("way") * c, 9) > 0
-    facts = [along(F.col("step")), along(F.col("close") - F.col("fast")), along(F.col("fast") - F.col("slow")), along(F.col("df")), along(F.col("ds")), F.round(F.col("high") - F.col("low") - F.col("atr"), 9) >= 0]
-    score = sum((F.coalesce(f, F.lit(False)).cast("long") for f in facts), F.lit(0).cast("long"))
-    return x.select("symbol", "t", score.alias("score"), F.when(score >= 5, "STRONG").when(score >= 3, "MODERATE").otherwise("WEAK").alias("strength"))
-
-
-STRENGTH_FACTS = ["round(way * (close - pc), 9) > 0", "round(way * (close - fast), 9) > 0", "round(way * (fast - slow), 9) > 0", "round(way * df, 9) > 0", "round(way * ds, 9) > 0", "round(high - low - atr_partial, 9) >= 0"]
-STRENGTH_SQL = f"""{A_SQL}, h AS (SELECT symbol, t, side AS way FROM ({HITS_SQL} SELECT * FROM hits)), x AS (SELECT symbol, t, CAST({" + ".join(f"CAST(coalesce({f}, false) AS BIGINT)" for f in STRENGTH_FACTS)} AS BIGINT) AS score FROM (SELECT a.*, pc, high, low, atr_partial, way FROM a JOIN atr USING (symbol, t) JOIN h USING (symbol, t)))
-SELECT symbol, t, score, CASE WHEN score >= 5 THEN 'STRONG' WHEN score >= 3 THEN 'MODERATE' ELSE 'WEAK' END AS strength FROM x"""
-
-
 def shuffled_spans(spark: SparkSession, sf_dir: str, times: int = 20) -> DataFrame:
     """The span of each symbol's price path against the spans of its own steps in `times` shuffled orders: one-sided share, the path itself included."""
     x = placed(spark, sf_dir).where("step IS NOT NULL").select("symbol", "t", "step", F.explode(F.sequence(F.lit(0), F.lit(times))).alias("sim"))
@@ -192,8 +161,8 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BESIDE_SQL = f"""{CORE} SELECT i, a.t AS t_click, a.close AS click, b.t AS t_view, b.close AS view FROM (SELECT * FROM atr WHERE symbol = 'click') a FULL JOIN (SELECT * FROM atr WHERE symbol = 'view') b USING (i)"""
 
-QUERIES = {f.__name__: f for f in (event_features, exit_rules, window_resolution, recovery_strength, shuffled_spans, partition_quality, principal_axes, bagged_stumps, body_bounds, side_by_side)}
+QUERIES = {f.__name__: f for f in (event_features, exit_rules, shuffled_spans, partition_quality, principal_axes, bagged_stumps, body_bounds, side_by_side)}
 ORACLES = {
-    "event_features": wide_sql(), "exit_rules": EXIT_SQL, "window_resolution": RESOLUTION_SQL, "recovery_strength": STRENGTH_SQL, "shuffled_spans": SHUFFLED_SQL, "partition_quality": QUALITY_SQL,
+    "event_features": wide_sql(), "exit_rules": EXIT_SQL, "shuffled_spans": SHUFFLED_SQL, "partition_quality": QUALITY_SQL,
     "principal_axes": AXES_SQL, "bagged_stumps": STUMPS_SQL, "body_bounds": BOUNDS_SQL, "side_by_side": BESIDE_SQL,
 }
