@@ -3,7 +3,7 @@ state machines with the kernels of tidemark.operators.machines."""
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, LongType, StructType, _parse_datatype_string
+
+from tidemark.operators.lineage import shared_folder
 from tidemark.sources.bars import HOUR
 
 
@@ -39,8 +43,6 @@ def episodes(stream: DataFrame, hours: int = 2, late: str = "1 hour") -> DataFra
 
 def machine(stream: DataFrame, key: str, kernel: Callable[[], object], schema: str) -> DataFrame:
     """(key, *schema) from a kernel of each key; rows must arrive in order of their batches, and are sorted by t within one."""
-    import pickle
-
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [c.split()[0] for c in schema.split(",")]
@@ -57,13 +59,92 @@ def machine(stream: DataFrame, key: str, kernel: Callable[[], object], schema: s
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", "kernel binary", "append", GroupStateTimeout.NoTimeout)
 
 
+class InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them and then gives them to the kernel in order.
+
+    State: the held rows by their place (time, tie), the kernel, and the time of the one timer that is set, that of
+    the earliest held row. A row whose place is held already is a DUPLICATE if it is equal, else a CONFLICT; the
+    first to arrive counts. Rows behind the watermark never get here: Spark drops them."""
+
+    def __init__(self, columns: list[str], time: str, tie: str, kernel: Callable[[], object], out: list[str]) -> None:
+        self.columns, self.time, self.tie, self.kernel, self.out = columns, time, tie, kernel, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", StructType().add("us", LongType()).add("tie", LongType()), StructType().add("row", BinaryType()))
+        self.machine = handle.getValueState("machine", StructType().add("kernel", BinaryType()))
+        self.timer = handle.getValueState("timer", StructType().add("ms", LongType()))
+
+    def wait_for(self, us: int) -> None:
+        """One timer, for the earliest row."""
+        ms, now = us // 1000, self.timer.get()[0] if self.timer.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def told(self, key: object, kind: str, us: int, tie: int, made: tuple = ()) -> tuple:
+        return (key, kind, us, tie, *(made or (None,) * len(self.out)))
+
+    def frame(self, rows: list[tuple], key: str) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[key, "kind", "us", "tie", *self.out]).astype({"us": "int64", "tie": "int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for batch in rows:
+            odd = []
+            for r in batch[self.columns].itertuples(index=False, name=None):
+                row = dict(zip(self.columns, r, strict=True))
+                us = int(pd.Timestamp(row.pop(self.time)).value // 1000)
+                place, packed = (us, int(row.get(self.tie, 0)) if self.tie else 0), pickle.dumps(sorted(row.items()))
+                if not self.held.containsKey(place):
+                    self.held.updateValue(place, (packed,))
+                    self.wait_for(us)
+                else:
+                    odd.append(self.told(key[0], "DUPLICATE" if bytes(self.held.getValue(place)[0]) == packed else "CONFLICT", *place))
+            if odd:
+                yield self.frame(odd, self.columns[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        # What the watermark has passed is bounded by its delay and the batch, not by the key's history.
+        places = sorted((int(p[0]), int(p[1])) for p in self.held.keys())  # noqa: SIM118
+        ready = [p for p in places if p[0] // 1000 <= passed]
+        machine, out = pickle.loads(self.machine.get()[0]) if self.machine.exists() else self.kernel(), []  # noqa: S301  our own state
+        for place in ready:
+            row = dict(pickle.loads(self.held.getValue(place)[0]))  # noqa: S301  our own state
+            out += [self.told(key[0], "ROW", *place, made) for made in machine.step(row | {"t": place[0]})]
+            self.held.removeKey(place)
+        self.machine.update((pickle.dumps(machine),))
+        if len(places) > len(ready):
+            self.wait_for(places[len(ready)][0])
+        if out:
+            yield self.frame(out, self.columns[0])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, key: str, time: str, kernel: Callable[[], object], schema: str, late: str = "1 hour", tie: str = "") -> DataFrame:
+    """(key, kind, us, tie, *schema): a kernel of each key over rows that may arrive in any order within the watermark's delay; it sees their time as t, in microseconds.
+
+    kind ROW is what the kernel puts out once the watermark has passed a row; DUPLICATE and CONFLICT name rows that arrived for a place
+    already taken. Needs the RocksDB state store. The stream gives what a batch over the same rows in order gives."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [key, *[c for c in stream.columns if c != key]]
+    made: StructType = _parse_datatype_string(f"{key} {stream.schema[key].dataType.simpleString()}, kind string, us long, tie long, {schema}")
+    processor = InOrder(columns, time, tie, kernel, [f.name for f in made.fields[4:]])
+    return stream.select(*columns).withWatermark(time, late).groupBy(key).transformWithStateInPandas(processor, made, "Append", "EventTime")
+
+
 def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """All that a stream emits for what its source holds now, written to Parquet (with the checkpoint) under
     folder, which the cluster shares: by default a new one in spark.checkpoint.dir."""
     spark = stream.sparkSession
     if folder is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="replay-")  # unset in local tests alone
-        folder = f"{shared}/replay-{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
