@@ -235,4 +235,63 @@ class Backbone:
         return []
 
 
+class LocalPhase:
+    """Phases of price in the averages' direction: a close against it opens a correction (PULLBACK), a close beyond the bar before turns it to
+    RECOVERY, one beyond the extreme of the three bars before the correction is its RESUMPTION, and averages that change sides its CONTEXT_LOSS.
+    Two kinds of output: BAR for every row, CORRECTION when one ends; a resumed one is over with that bar."""
+
+    def __init__(self) -> None:
+        self.n, self.c, self.last = 0, None, None
+
+    def ended(self, row: dict, status: str) -> tuple:
+        c, self.c = self.c, None
+        return ("CORRECTION", row["t"], c["way"], None, status, c["number"], c["start"], c["bars"], c["depth"], c["near"], c["tries"])
+
+    def bar(self, row: dict, way: int, phase: str, event: str | None, number: int | None) -> tuple:
+        return ("BAR", row["t"], way, phase, event, number, None, None, None, None, None)
+
+    def step(self, row: dict) -> list[tuple]:
+        way, before, self.last = 1 if row["fast"] > row["slow"] else -1, self.last, row
+        done, out = self.c == "RESUMED", []
+        held = None if done else self.c
+        turned = self.of * (row["fast"] - row["slow"]) <= 0 if self.c else False
+        if done or turned:
+            if held:
+                out.append(self.ended(row, "CONTEXT_LOSS"))
+            self.c = None
+        if turned:
+            return [*out, self.bar(row, way, "CONTEXT_LOSS", "CONTEXT_LOSS", None)]
+        event = None
+        if self.c is None:
+            if before is None or way * (row["close"] - before["close"]) >= 0:
+                return [*out, self.bar(row, way, "EXPANSION", None, None)]
+            self.n, self.of, event = self.n + 1, way, "CORRECTION_START"
+            extreme = row["high3"] if way > 0 else row["low3"]
+            self.c = {"number": self.n, "way": way, "start": row["t"], "extreme": extreme, "furthest": row["low"] if way > 0 else row["high"], "bars": 0, "depth": 0.0, "near": None, "tries": 0, "back": False}
+        c, way = self.c, self.of
+        c["bars"] += 1
+        c["furthest"] = min(c["furthest"], row["low"]) if way > 0 else max(c["furthest"], row["high"])
+        c["depth"] = max(c["depth"], way * (c["extreme"] - c["furthest"]) / c["extreme"] * 100 if c["extreme"] else 0.0)
+        near = abs(row["close"] - row["fast"]) / row["fast"] * 100 if row["fast"] else None
+        c["near"] = near if c["near"] is None or near is not None and near < c["near"] else c["near"]
+        move, past = way * (row["close"] - before["close"]), way * (row["close"] - c["extreme"])
+        if c["back"] and move < 0 and past <= 0:
+            c["back"], c["tries"], phase, event = False, c["tries"] + 1, "PULLBACK", "RECOVERY_FAILED"
+        elif past > 0:
+            out.append(self.bar(row, way, "RESUMPTION", "RESUMPTION", c["number"]))
+            out.append(self.ended(row, "RESUMPTION"))
+            self.c = "RESUMED"
+            return out
+        elif move > 0 and way * (row["close"] - before["high" if way > 0 else "low"]) > 0:
+            c["tries"] += not c["back"]
+            c["back"], phase, event = True, "RECOVERY", "RECOVERY"
+        else:
+            phase = "RECOVERY" if c["back"] else "PULLBACK"
+        return [*out, self.bar(row, way, phase, event, c["number"])]
+
+    def close(self) -> list[tuple]:
+        return [self.ended(self.last, "OPEN_END")] if self.c and self.c != "RESUMED" else []
+
+
+LOCAL = "kind string, t long, way int, phase string, event string, number long, start long, bars long, depth double, near double, tries long"
 TRADE = "entry_t long, exit_t long, side int, entry double, exit double, reason string, bars int, gross double, net double, mfe double, mae double"
