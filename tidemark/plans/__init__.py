@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "picks", "outcomes", "reconcile", "trades", "stats", "replay", "zones", "sections", "platforms", "clusters", "fits", "phases")
+MODULES = ("features", "quality", "events", "joins", "states", "study", "shapes", "cycles", "picks", "outcomes", "reconcile", "trades", "stats", "replay", "zones", "sections", "platforms", "clusters", "fits", "phases", "exits")
 
 
 def gathered(kind: str) -> dict:

@@ -50,34 +50,6 @@ f AS (SELECT symbol, t, {", ".join(cells)} FROM c), l AS ({union}) SELECT l.symb
 RULES = ("HOLD", "STOP", "BREAK_EVEN", "GIVE_BACK", "TARGET")
 
 
-def exit_rules(spark: SparkSession, sf_dir: str, most: int = 24, stop: float = 1.5, target: float = 3.0) -> DataFrame:
-    """Each detection as an entry of its own at its close, and its result in units of ATR by five exits within `most` bars: to the end;
-    a stop; also at the entry's price once one unit was gained; also at a close that gives half of the best back; also a target (the stop first). A detection in the last bar has no result."""
-    x = S.atr(bars(spark, sf_dir), strict=False).withColumn("next", F.collect_list(F.struct("high", "low", "close")).over(S.order().rowsBetween(1, most)))
-    e = x.join(hits(spark, sf_dir), ["symbol", "t"]).where("atr > 0").select("symbol", "t", "side", F.col("close").alias("entry"), "atr", F.posexplode("next").alias("k", "b"))
-    unit = lambda c: F.round(c / F.col("atr"), 9)
-    high, low = F.col("b.high") - F.col("entry"), F.col("b.low") - F.col("entry")
-    e = e.withColumns({"gain": unit(F.when(F.col("side") > 0, high).otherwise(-low)), "loss": unit(F.when(F.col("side") > 0, -low).otherwise(high)), "net": unit(F.col("side") * (F.col("b.close") - F.col("entry")))})
-    path = Window.partitionBy("symbol", "t").orderBy("k")
-    e = e.withColumns({"best": F.max("gain").over(path), "had": F.max("gain").over(path.rowsBetween(Window.unboundedPreceding, -1))})
-    stopped = F.when(F.col("loss") >= stop, F.lit(-stop))
-    exits = {"STOP": stopped, "BREAK_EVEN": F.coalesce(stopped, F.when((F.col("had") >= 1) & (F.col("loss") >= 0), F.lit(0.0))), "GIVE_BACK": F.coalesce(stopped, F.when((F.col("best") >= 1) & (F.col("net") <= F.col("best") / 2), F.col("net"))), "TARGET": F.coalesce(stopped, F.when(F.col("gain") >= target, F.lit(target)))}
-    last = F.max(F.struct("k", "net"))
-    first = {r: F.min(F.when(c.isNotNull(), F.struct(F.col("k").alias("k"), c.alias("v")))) for r, c in exits.items()}
-    ends = e.groupBy("symbol", "t").agg(last.alias("HOLD"), *[c.alias(r) for r, c in first.items()])
-    rows = [F.struct(F.lit(r).alias("rule"), (F.coalesce(F.col(f"{r}.k"), F.col("HOLD.k")) + 1).cast("long").alias("bars"), F.round(F.coalesce(F.col(f"{r}.v"), F.col("HOLD.net")) + 1e-9, 5).alias("result")) for r in exits]
-    rows.append(F.struct(F.lit("HOLD").alias("rule"), (F.col("HOLD.k") + 1).cast("long").alias("bars"), F.round(F.col("HOLD.net") + 1e-9, 5).alias("result")))
-    return ends.select("symbol", "t", F.explode(F.array(*rows)).alias("r")).select("symbol", "t", "r.*")
-
-
-EXIT_CASES = {"STOP": "s", "BREAK_EVEN": "coalesce(s, CASE WHEN had >= 1 AND loss >= 0 THEN 0.0 END)", "GIVE_BACK": "coalesce(s, CASE WHEN best >= 1 AND net <= best / 2 THEN net END)", "TARGET": "coalesce(s, CASE WHEN gain >= 3 THEN 3.0 END)"}
-EXIT_SQL = f"""{HITS_SQL}, e AS (SELECT h.symbol, h.t, h.side, n.i - a.i AS k, round(CASE WHEN h.side > 0 THEN n.high - a.close ELSE a.close - n.low END / a.atr_partial, 9) AS gain, round(CASE WHEN h.side > 0 THEN a.close - n.low ELSE n.high - a.close END / a.atr_partial, 9) AS loss, round(h.side * (n.close - a.close) / a.atr_partial, 9) AS net
-  FROM hits h JOIN atr a ON a.symbol = h.symbol AND a.t = h.t JOIN atr n ON n.symbol = a.symbol AND n.i BETWEEN a.i + 1 AND a.i + 24 WHERE a.atr_partial > 0),
-b AS (SELECT *, max(gain) OVER (PARTITION BY symbol, t ORDER BY k) AS best, max(gain) OVER (PARTITION BY symbol, t ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had, CASE WHEN loss >= 1.5 THEN -1.5 END AS s FROM e),
-z AS (SELECT symbol, t, max(k) AS k, arg_max(net, k) AS net FROM e GROUP BY symbol, t), x AS ({" UNION ALL ".join(f"SELECT symbol, t, '{r}' AS rule, k, CAST({c} AS DOUBLE) AS v FROM b" for r, c in EXIT_CASES.items())}), f AS (SELECT symbol, t, rule, min(k) FILTER (WHERE v IS NOT NULL) AS k, arg_min(v, k) FILTER (WHERE v IS NOT NULL) AS v FROM x GROUP BY ALL)
-SELECT f.symbol, f.t, rule, coalesce(f.k, z.k) AS bars, round(coalesce(f.v, z.net) + 1e-9, 5) AS result FROM f JOIN z USING (symbol, t) UNION ALL SELECT symbol, t, 'HOLD', k, round(net + 1e-9, 5) FROM z"""
-
-
 def shuffled_spans(spark: SparkSession, sf_dir: str, times: int = 20) -> DataFrame:
     """The span of each symbol's price path against the spans of its own steps in `times` shuffled orders: one-sided share, the path itself included."""
     x = placed(spark, sf_dir).where("step IS NOT NULL").select("symbol", "t", "step", F.explode(F.sequence(F.lit(0), F.lit(times))).alias("sim"))
@@ -161,8 +133,8 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BESIDE_SQL = f"""{CORE} SELECT i, a.t AS t_click, a.close AS click, b.t AS t_view, b.close AS view FROM (SELECT * FROM atr WHERE symbol = 'click') a FULL JOIN (SELECT * FROM atr WHERE symbol = 'view') b USING (i)"""
 
-QUERIES = {f.__name__: f for f in (event_features, exit_rules, shuffled_spans, partition_quality, principal_axes, bagged_stumps, body_bounds, side_by_side)}
+QUERIES = {f.__name__: f for f in (event_features, shuffled_spans, partition_quality, principal_axes, bagged_stumps, body_bounds, side_by_side)}
 ORACLES = {
-    "event_features": wide_sql(), "exit_rules": EXIT_SQL, "shuffled_spans": SHUFFLED_SQL, "partition_quality": QUALITY_SQL,
+    "event_features": wide_sql(), "shuffled_spans": SHUFFLED_SQL, "partition_quality": QUALITY_SQL,
     "principal_axes": AXES_SQL, "bagged_stumps": STUMPS_SQL, "body_bounds": BOUNDS_SQL, "side_by_side": BESIDE_SQL,
 }
