@@ -12,6 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 QUERIES, ORACLES = plans.gathered("QUERIES"), plans.gathered("ORACLES")
 
 
+#: Outputs of machines that the smallest tables may not have.
+SPARSE = {"zone_joints", "zone_rearms", "zone_extensions", "zone_price_regimes", "zone_ema_regimes"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     if not Path(SF).exists():
@@ -46,7 +50,9 @@ def test_sql_agrees(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_without_sql(spark, duck, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    found = QUERIES[name](spark, SF)
+    assert len(set(found.columns)) == len(found.columns)
+    assert found.count() > 0 or name in SPARSE
 
 
 def test_every_sql_has_a_query():

@@ -125,13 +125,15 @@ BOUNDS_SQL = f"""{CORE} SELECT symbol, t // 86400 AS day, list_median(list_rever
 
 
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two series beside each other by their place, not their time; the longer one's rest stands alone."""
+    """The first two series by name beside each other by their place, not their time; the longer one's rest stands alone."""
     x = placed(spark, sf_dir)
-    a, b = (x.where(F.col("symbol") == s).select("i", F.col("t").alias(f"t_{s}"), F.col("close").alias(s)) for s in ("click", "view"))
+    names = [r.symbol for r in x.select("symbol").distinct().orderBy("symbol").limit(2).collect()] + [None, None]
+    a, b = (x.where(F.col("symbol").eqNullSafe(F.lit(s))).select("i", F.lit(s).cast("string").alias(f"symbol_{k}"), F.col("t").alias(f"t_{k}"), F.col("close").alias(f"close_{k}")) for k, s in (("a", names[0]), ("b", names[1])))
     return a.join(b, "i", "full")
 
 
-BESIDE_SQL = f"""{CORE} SELECT i, a.t AS t_click, a.close AS click, b.t AS t_view, b.close AS view FROM (SELECT * FROM atr WHERE symbol = 'click') a FULL JOIN (SELECT * FROM atr WHERE symbol = 'view') b USING (i)"""
+BESIDE_SQL = f"""{CORE}, r AS (SELECT *, dense_rank() OVER (ORDER BY symbol) AS r FROM atr)
+SELECT i, a.symbol AS symbol_a, a.t AS t_a, a.close AS close_a, b.symbol AS symbol_b, b.t AS t_b, b.close AS close_b FROM (SELECT * FROM r WHERE r = 1) a FULL JOIN (SELECT * FROM r WHERE r = 2) b USING (i)"""
 
 QUERIES = {f.__name__: f for f in (event_features, shuffled_spans, partition_quality, principal_axes, bagged_stumps, body_bounds, side_by_side)}
 ORACLES = {

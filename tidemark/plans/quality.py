@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from tidemark.operators import quality as Q
 from tidemark.sources.bars import HOUR, bars, bars_sql, resample_bars, ticks
 
-#: January 2024 up to the 31st, the span of the events table.
-START, END = 1704067200, 1706659200
+DAY = 86400
+#: The span of the events: whole days from the first to the last of them.
+SPAN_SQL = f"(SELECT min(epoch_us(ts)) // 1000000 // {DAY} * {DAY} AS span_start, (max(epoch_us(ts)) // 1000000 // {DAY} + 1) * {DAY} AS span_end FROM events) AS span"
 TICKS = "SELECT event_type AS symbol, event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, value, user_id FROM events"
 
 
+def span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The whole days of the events, one row from their statistics."""
+    low, high = ticks(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
+    return (0, 0) if low is None else (low // DAY * DAY, (high // DAY + 1) * DAY)
+
+
 def grid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.missing_slots(bars(spark, sf_dir, 1), HOUR, START, END)
+    return Q.missing_slots(bars(spark, sf_dir, 1), HOUR, *span(spark, sf_dir))
 
 
-GAPS_SQL = f"""WITH b AS ({bars_sql(1)}), grid AS (SELECT symbol, CAST(x AS BIGINT) AS t FROM (SELECT DISTINCT symbol FROM b), range({START}, {END}, {HOUR}) AS r(x))
+GAPS_SQL = f"""WITH b AS ({bars_sql(1)}), grid AS (SELECT symbol, CAST(x AS BIGINT) AS t FROM (SELECT symbol, unnest(range(span_start, span_end, {HOUR})) AS x FROM (SELECT DISTINCT symbol FROM b), {SPAN_SQL}))
 SELECT symbol, t FROM grid WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = grid.symbol AND b.t = grid.t)"""
 
 
@@ -67,17 +74,18 @@ SELECT symbol, CASE WHEN NOT (low <= least(open, close) AND high >= greatest(ope
 
 def readiness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """READY if every slot of the span has a valid bar, PARTIAL with half of them, else NOT_READY."""
-    want = (END - START) // HOUR
-    inside = bars(spark, sf_dir, 1).where(F.col("t").between(START, END - HOUR))
+    start, end = span(spark, sf_dir)
+    want = (end - start) // HOUR
+    inside = bars(spark, sf_dir, 1).where(F.col("t").between(start, end - HOUR))
     got = inside.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(Q.invalid_bar()).alias("invalid"), F.min("t").alias("first"), F.max("t").alias("last"))
     status = F.when((F.col("n") == want) & (F.col("invalid") == 0), "READY").when(F.col("n") * 2 >= want, "PARTIAL").otherwise("NOT_READY")
-    return got.select("symbol", "n", "invalid", (F.lit(want) - F.col("n")).alias("missing"), (F.col("first") - START).alias("missing_before"), (F.lit(END - HOUR) - F.col("last")).alias("missing_after"), status.alias("status"))
+    return got.select("symbol", "n", "invalid", (F.lit(want) - F.col("n")).alias("missing"), (F.col("first") - start).alias("missing_before"), (F.lit(end - HOUR) - F.col("last")).alias("missing_after"), status.alias("status"))
 
 
-READY_SQL = f"""WITH b AS (SELECT * FROM ({bars_sql(1)}) WHERE t >= {START} AND t < {END})
-SELECT symbol, count(*) AS n, count(*) FILTER (WHERE NOT (low <= least(open, close) AND high >= greatest(open, close))) AS invalid, {(END - START) // HOUR} - count(*) AS missing,
-  min(t) - {START} AS missing_before, {END - HOUR} - max(t) AS missing_after,
-  CASE WHEN count(*) = {(END - START) // HOUR} THEN 'READY' WHEN count(*) * 2 >= {(END - START) // HOUR} THEN 'PARTIAL' ELSE 'NOT_READY' END AS status FROM b GROUP BY symbol"""
+READY_SQL = f"""WITH b AS (SELECT b.*, span_start, span_end, (span_end - span_start) // {HOUR} AS want FROM ({bars_sql(1)}) b, {SPAN_SQL})
+SELECT symbol, count(*) AS n, count(*) FILTER (WHERE NOT (low <= least(open, close) AND high >= greatest(open, close))) AS invalid, any_value(want) - count(*) AS missing,
+  min(t) - any_value(span_start) AS missing_before, any_value(span_end) - {HOUR} - max(t) AS missing_after,
+  CASE WHEN count(*) = any_value(want) THEN 'READY' WHEN count(*) * 2 >= any_value(want) THEN 'PARTIAL' ELSE 'NOT_READY' END AS status FROM b GROUP BY symbol"""
 
 
 def cross_interval_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +96,9 @@ def cross_interval_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(worst <= 1e-9).alias("equal"), F.round(F.max(worst), 6).alias("worst"))
 
 
-CROSS_SQL = f"""SELECT symbol, count(*) AS n, count(*) AS equal, CAST(0 AS DOUBLE) AS worst FROM ({bars_sql()}) GROUP BY symbol"""
+CROSS_SQL = f"""WITH m AS (SELECT symbol, t // {4 * HOUR} * {4 * HOUR} AS t, arg_min(open, t) AS open, max(high) AS high, min(low) AS low, arg_max(close, t) AS close FROM ({bars_sql(1)}) GROUP BY ALL),
+w AS (SELECT symbol, greatest(abs(m.open - d.open), abs(m.high - d.high), abs(m.low - d.low), abs(m.close - d.close)) AS worst FROM m FULL JOIN ({bars_sql()}) d USING (symbol, t))
+SELECT symbol, count(*) AS n, count(*) FILTER (worst <= 1e-9) AS equal, round(max(worst), 6) AS worst FROM w GROUP BY symbol"""
 
 
 def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +113,7 @@ IDENTITY_SQL = """SELECT (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY
 
 
 def holdout_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.assert_before(bars(spark, sf_dir, 24), END).groupBy("symbol").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    return Q.assert_before(bars(spark, sf_dir, 24), span(spark, sf_dir)[1]).groupBy("symbol").agg(F.count("*").alias("n"), F.max("t").alias("last"))
 
 
 def unknown_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

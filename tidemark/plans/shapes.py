@@ -124,15 +124,16 @@ def every_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base of prices by order under a delta with the orders of the last year: the delta's rows replace the base's."""
+    """A base of prices by order under a delta with the orders of the table's last year: the delta's rows replace the base's."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("price"), F.year(F.col("o_orderdate").cast("date")).alias("y"))
-    delta = orders.where("y >= 1998").select("o_orderkey", (F.col("price") * 2).alias("new"))
-    both = orders.where("y <= 1998").select("o_orderkey", "price").join(delta, "o_orderkey", "full")
+    last = F.lit(orders.agg(F.max("y")).first()[0])
+    delta = orders.where(F.col("y") >= last).select("o_orderkey", (F.col("price") * 2).alias("new"))
+    both = orders.where(F.col("y") <= last).select("o_orderkey", "price").join(delta, "o_orderkey", "full")
     return both.select("o_orderkey", F.round(F.coalesce("new", "price"), 2).alias("price"), F.when(F.col("new").isNotNull(), "DELTA").otherwise("BASE").alias("origin"))
 
 
 DELTA_SQL = """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, year(CAST(o_orderdate AS DATE)) AS y FROM orders)
-SELECT o_orderkey, round(coalesce(d.price * 2, b.price), 2) AS price, CASE WHEN d.price IS NOT NULL THEN 'DELTA' ELSE 'BASE' END AS origin FROM (SELECT * FROM o WHERE y <= 1998) b FULL JOIN (SELECT * FROM o WHERE y >= 1998) d USING (o_orderkey)"""
+SELECT o_orderkey, round(coalesce(d.price * 2, b.price), 2) AS price, CASE WHEN d.price IS NOT NULL THEN 'DELTA' ELSE 'BASE' END AS origin FROM (SELECT * FROM o WHERE y <= (SELECT max(y) FROM o)) b FULL JOIN (SELECT * FROM o WHERE y >= (SELECT max(y) FROM o)) d USING (o_orderkey)"""
 
 
 def decimal_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

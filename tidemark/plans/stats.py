@@ -87,7 +87,11 @@ def kmeans_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     x = observed(spark, sf_dir).na.drop(subset=["displacement8", "efficiency8", "range8"])
     parts = [VectorAssembler(inputCols=["displacement8", "efficiency8", "range8"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=3, seed=1, predictionCol="cluster")]
-    return Pipeline(stages=parts).fit(x).transform(x).select("symbol", "t", "cluster")
+    fitted = Pipeline(stages=parts).fit(x)
+    # Clusters are numbered by their centres, so the numbers don't depend on the order of the rows.
+    centres = [list(c) for c in fitted.stages[-1].clusterCenters()]
+    number = F.array(*[F.lit(sorted(centres).index(c)) for c in centres])
+    return fitted.transform(x).select("symbol", "t", F.get(number, F.col("cluster")).alias("cluster"))
 
 
 def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
