@@ -40,3 +40,10 @@ def test_edges(spark):
     rows = [(1, 0, "user", "x" * 300_000), (1, 0, "user", "x" * 300_000), (2, None, "user", "a"), (None, 0, "user", "z")]
     got = C.render(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.conv_id), r.n_turns, len(r.text)) for r in got) == [("1", 2, 2 * (300_000 + 28)), ("2", 1, 29), ("None", 1, 29)]
+
+
+def test_equal_turns_go_by_text(spark):
+    rows = [(1, 0, "user", x) for x in "badc"] + [(None, 0, "user", "y"), (None, 0, "user", "x")]
+    got = {r.conv_id: r.text for r in C.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    line = "<|im_start|>user\n{}<|im_end|>\n".format
+    assert got == {1: "".join(map(line, "abcd")), None: line("x") + line("y")}

@@ -57,3 +57,11 @@ def test_edges(spark):
     assert sorted(made.columns) == sorted({*clash.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"})
     assert {(r.doc_id, r.n_words, r._both) for r in made.collect()} == {(1, 0, "z"), (None, 0, "z"), (2, 3, "z")}
     assert Q.cascade(clash, []).columns == clash.columns
+
+
+def test_cascade_over_a_map_column(spark):
+    from tidemark.llm import quality
+
+    frame = spark.sql("SELECT id AS doc_id, repeat('a word here. ', 40) AS text, map('k', id) AS more FROM range(40)")
+    assert quality.keep_good(frame).columns == frame.columns
+    assert quality.keep_good(frame).count() in range(41)

@@ -65,3 +65,9 @@ def test_edges(spark, tmp_path):
     assert sorted(map(str, map(tuple, K.read(spark, f"{tmp_path}/a").collect()))) == sorted(map(str, brute(rows)))
     K.write(frame.where("false"), f"{tmp_path}/b")
     assert K.read(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_smallest_id_is_no_null():
+    payload = K.pack([None, -(1 << 63), 5], [np.array([1, 0], np.uint32), np.array([0], np.uint32), np.array([2, 3, 0], np.uint32)], 100)
+    shard = K.Shard(payload)
+    assert shard.known.tolist() == [False, True, True] and shard.doc_ids.tolist()[1:] == [-(1 << 63), 5] and shard.ids().tolist() == [1, 0, 0, 2, 3, 0]

@@ -10,7 +10,7 @@ and over blocks, so no task needs a long conversation's turns together; prefix h
 partial aggregation before the join, so common first turns are single rows. Rendered conversations
 come in parts of one block each, as no row may hold an unbounded conversation.
 
-Turns are ordered by turn, role and a hash of both with the text, repeated ones included. Null roles render as
+Turns are ordered by turn, role and text (by its first TIE_CHARS characters, then by a hash), repeated ones included. Null roles render as
 the empty role, null texts as empty texts. Null turns come first. Rows with a null conv_id form one
 conversation. An empty table gives an empty result; extra columns are not read.
 """
@@ -21,25 +21,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
+from tidemark.llm.turns import TIE_CHARS
 
 #: Turn numbers of a block, so that a block has a bounded number of turns where these are distinct.
 BLOCK = 256
 
 
 def plain(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, block, turn, role, text, hash): the turns with nulls replaced."""
+    """(conv_id, block, turn, role, text, start, hash): the turns with nulls replaced."""
     rows = turns.select(
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60)))
-    return rows.withColumns({"block": block, "hash": F.xxhash64(F.length("role"), "role", "text")})
+    return rows.withColumns({"block": block, "start": F.substring("text", 1, TIE_CHARS), "hash": F.xxhash64(F.length("role"), "role", "text")})
 
 
 def positions(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, n, h1, h2) from plain(): position from 1, turns of the conversation, rolling hashes. No texts are shuffled."""
-    rows = turns.select("conv_id", "block", "turn", "role", "hash", F.xxhash64(F.lit(1), F.length("role"), "role", "text").alias("more"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "hash")
+    """(conv_id, pos, n, h1, h2) from plain(): position from 1, turns of the conversation, rolling hashes. No whole texts are shuffled."""
+    rows = turns.select("conv_id", "block", "turn", "role", "start", "hash", F.xxhash64(F.lit(1), F.length("role"), "role", "text").alias("more"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "start", "hash")
     placed = rows.withColumn("at", F.row_number().over(inside))
     sizes = placed.groupBy("conv_id", "block").agg(F.count("*").alias("k"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +69,7 @@ def render(turns: DataFrame, **columns: str) -> DataFrame:
     rows = plain(turns, **columns)
     keep = cut(maximal(positions(rows)).select(F.col("conv_id").alias("c"), "n", "n_equal"))
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
-    lines = rows.join(keep, rows["conv_id"].eqNullSafe(F.col("c"))).select("conv_id", "block", "n", "n_equal", F.struct("turn", "role", "hash", turn.alias("line")).alias("line"))
+    lines = rows.join(keep, rows["conv_id"].eqNullSafe(F.col("c"))).select("conv_id", "block", "n", "n_equal", F.struct("turn", "role", "start", "hash", turn.alias("line")).alias("line"))
     parts = lines.groupBy("conv_id", "block", "n", "n_equal").agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["line"]), "").alias("text"))
     # Blocks are numbered by themselves, without their texts.
     blocks = rows.select("conv_id", "block").distinct()
@@ -93,8 +94,8 @@ WITH t AS (
 ), keep AS (
   SELECT conv_id, n, n_equal FROM ends WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pos < h.n AND h.pos = ends.n AND h.prefix = ends.prefix)
 ), parts AS (
-  SELECT conv_id, block, t.n AS n_turns, n_equal, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
-  FROM t JOIN keep USING (conv_id) GROUP BY ALL
+  SELECT t.conv_id, block, t.n AS n_turns, n_equal, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+  FROM t JOIN keep ON t.conv_id IS NOT DISTINCT FROM keep.conv_id GROUP BY ALL
 )
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS INTEGER) AS part, n_turns, n_equal, text FROM parts
 """

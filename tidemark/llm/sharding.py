@@ -14,7 +14,7 @@ cell's offset, so a key that holds a third of all rows is dealt to SALTS cells.
 The key is the text, so equal texts stay together as far as room allows; by NODES * shards, one arc
 in a few hundred is cut. Null texts count as empty ones with size 1. Null and repeated ids each get
 their own slot (ties in any order: such rows are alike). An empty table gives an empty result. Extra
-columns stay, whatever their names; ones named shard or slot then occur twice.
+columns stay, whatever their names; ones named shard or slot are replaced. Very long texts are hashed whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Pairs never cross the end of a document.
 File format. Shards are rows of a Parquet table in the shared folder (part, seq, n_docs, n_tokens,
 payload), so Spark's commit keeps it whole when executors are lost. A payload holds, little-endian:
 MAGIC, then six unsigned 32-bit numbers (documents, ids, terminals, rules, symbols, bytes of a
-symbol), doc_ids (64 bits, the smallest for null), ids and symbols of each document (32 bits), rules as
+symbol), doc_ids (64 bits, and a bit each that is 0 for null), ids and symbols of each document (32 bits), rules as
 pairs of symbols and their expansion lengths (32 bits), the symbols, and a crc32 of all before. With
 the expansion lengths any range of ids is found and expanded by itself (ids_at).
 
@@ -49,8 +49,7 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 #: Rows that are read from a batch at a time.
 BATCH = 64
-MAGIC = b"TKRP1\0"
-NO_ID = -(1 << 63)
+MAGIC = b"TKRP2\0"
 #: Pre-tokens that a worker keeps, their characters, and characters of texts that are encoded together.
 KEEP, KEEP_CHARS, BATCH_CHARS = 600_000, 12_000_000, 1 << 20
 
@@ -292,7 +291,7 @@ def pack(doc_ids: list[int | None], texts: list[np.ndarray], terminals: int) ->
     own = np.diff(np.flatnonzero(e), prepend=-1).astype("<u4")
     width = 2 if terminals + len(rules) <= 1 << 16 else 4
     body = MAGIC + struct.pack("<6I", len(texts), len(ids), terminals, len(rules), len(s), width)
-    body += np.array([NO_ID if i is None else i for i in doc_ids], "<i8").tobytes() + sizes.astype("<u4").tobytes() + own.tobytes()
+    body += np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.packbits([i is not None for i in doc_ids]).tobytes() + sizes.astype("<u4").tobytes() + own.tobytes()
     body += rules.astype("<u4").tobytes() + lengths_of(rules, terminals).astype("<u4").tobytes() + s.astype("<u2" if width == 2 else "<u4").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -312,7 +311,9 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.sizes, self.own = read("<i8", docs), read("<u4", docs), read("<u4", docs)
+        self.doc_ids, known = read("<i8", docs), read("u1", (docs + 7) // 8)
+        self.known = np.unpackbits(known, count=docs).astype(bool)
+        self.sizes, self.own = read("<u4", docs), read("<u4", docs)
         self.rules, self.lengths = read("<u4", 2 * rules).reshape(-1, 2), read("<u4", rules)
         self.symbols = read("<u2" if width == 2 else "<u4", symbols)
 
@@ -390,7 +391,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 begins = ends - shard.sizes
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(crcs)
-                names = [None if i == NO_ID else i for i in shard.doc_ids.tolist()]
+                names = [i if known else None for i, known in zip(shard.doc_ids.tolist(), shard.known.tolist(), strict=True)]
                 columns = [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(begins, pa.int64()), pa.array(shard.sizes.astype(np.int64), pa.int64()), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
