@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a compressed table of the shared folder, and what removes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return spark.read.schema(df.schema).parquet(folder), lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def others(df: DataFrame, *names: str) -> list[str]:
     """The columns of df without those that outputs of these names replace (Spark compares without case)."""
     taken = {n.lower() for n in names}
