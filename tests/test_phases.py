@@ -1,5 +1,6 @@
 """Local phases by hand, controls against brute force, and sums over clustered input."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -39,6 +40,15 @@ def test_lost_context_by_hand():
     assert played([]) == []
 
 
+def test_depth_below_an_extreme_of_zero_is_that_of_sql():
+    """SQL divides by the extreme: (high - 0) / 0 is infinite, 0 / 0 is no number, and the last bar counts."""
+    falls = lambda *bars: [{"t": t, "close": c, "high": h, "low": 0.0, "fast": 9.0, "slow": 10.0, "high3": 12.0, "low3": 0.0} for t, (c, h) in enumerate(bars)]
+    depth = lambda rows: [x[8] for x in played(rows) if x[0] == "CORRECTION"]
+    assert depth(falls((1.0, 2.0), (1.5, 3.0))) == [math.inf]
+    assert [math.isnan(d) for d in depth(falls((1.0, 2.0), (1.5, 0.0)))] == [True]
+    assert depth(falls((1.0, 2.0), (1.5, 0.0), (1.6, 1.0))) == [math.inf]
+
+
 def test_pool_against_brute_force(spark):
     rng = random.Random(2)
     pool = [("a" if k % 3 else "b", k, rng.choice([round(rng.gauss(0, 1), 2), 0.5])) for k in range(200)] + [("a", 999, None)]

@@ -6,6 +6,7 @@ a key's rows. The same kernels run under Structured Streaming (tidemark.streamin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -235,6 +236,11 @@ class Backbone:
         return []
 
 
+def ratio(a: float, b: float) -> float:
+    """a / b as SQL divides doubles: infinite over zero, NaN for 0 / 0."""
+    return a / b if b else a * math.inf
+
+
 class LocalPhase:
     """Phases of price in the averages' direction: a close against it opens a correction (PULLBACK), a close beyond the bar before turns it to
     RECOVERY, one beyond the extreme of the three bars before the correction is its RESUMPTION, and averages that change sides its CONTEXT_LOSS.
@@ -271,9 +277,10 @@ class LocalPhase:
         c, way = self.c, self.of
         c["bars"] += 1
         c["furthest"] = min(c["furthest"], row["low"]) if way > 0 else max(c["furthest"], row["high"])
-        c["depth"] = max(c["depth"], way * (c["extreme"] - c["furthest"]) / c["extreme"] * 100 if c["extreme"] else 0.0)
-        near = abs(row["close"] - row["fast"]) / row["fast"] * 100 if row["fast"] else None
-        c["near"] = near if c["near"] is None or near is not None and near < c["near"] else c["near"]
+        deep = ratio(way * (c["extreme"] - c["furthest"]), c["extreme"]) * 100
+        c["depth"] = 0.0 if deep < 0 else deep
+        near = ratio(abs(row["close"] - row["fast"]), row["fast"]) * 100
+        c["near"] = near if c["near"] is None or near < c["near"] or c["near"] != c["near"] else c["near"]
         move, past = way * (row["close"] - before["close"]), way * (row["close"] - c["extreme"])
         if c["back"] and move < 0 and past <= 0:
             c["back"], c["tries"], phase, event = False, c["tries"] + 1, "PULLBACK", "RECOVERY_FAILED"
