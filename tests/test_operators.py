@@ -206,3 +206,19 @@ def test_files_sources(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/f").count() == 3
     with pytest.raises(ValueError):
         files.publish(rows, f"{tmp_path}/s", f"{tmp_path}/f", checks=rows)
+
+
+def test_nearest_time_equals_brute_force_and_makes_no_pair(spark):
+    rng = random.Random(8)
+    left = [(k, rng.randrange(-400, 400)) for k in range(300)] + [(300, None), (7, 5)]
+    right = [(rng.randrange(10**6), rng.choice([rng.randrange(-400, 400), 50])) for _ in range(40)] + [(1, None), (2, 3000)]
+    a, b = spark.createDataFrame(left, "event_id long, t long"), spark.createDataFrame(right, "near_id long, near_t long")
+    got = J.nearest_time(a, b, "t", "near_t", 10, "near_id")
+    want = []
+    for e, t in left:
+        near = [(abs(t - u), u, n) for n, u in right if t is not None and u is not None and abs(t - u) <= 10]
+        want += [(e, t, u, n, d) for d, u, n in [min(near)]] if near else []
+    assert sorted(map(tuple, got.select("event_id", "t", "near_t", "near_id", "distance").collect())) == sorted(want)
+    # Many rows at one place: the query's plan has no join whose rows grow with their product.
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert J.nearest_time(a, b.where("false"), "t", "near_t", 10, "near_id").count() == 0

@@ -58,6 +58,28 @@ def nearest(pairs: DataFrame, keys: list[str], distance: str, tie: list[str]) ->
     return pairs.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def nearest_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, reach: int, key: str, out: str = "distance") -> DataFrame:
+    """left with right_time, key and out (how far off) of the nearest right row at most reach away; equally near ones by the smallest time, then key. Left rows that meet none go.
+
+    No pair is made: of the right rows of one time the smallest key stands, dealt to the two buckets of time that it can reach,
+    and in a bucket the last time before and the first one after are carried on."""
+    width = 2 * max(1, reach)
+    bucket = lambda t: F.floor(t / width)
+    marks = right.groupBy(F.col(right_time).alias("_m")).agg(F.min(key).alias("_i")).where("_m IS NOT NULL")
+    marks = marks.withColumn("_b", F.explode(F.sequence(bucket(F.col("_m") - reach), bucket(F.col("_m") + reach))))
+    put, none = F.struct("_m", "_i"), F.lit(None)
+    a = marks.select("_b", F.col("_m").alias("_t"), put.alias("_v"), none.cast(left.schema).alias("_l"))
+    b = left.where(F.col(left_time).isNotNull()).select(bucket(F.col(left_time)).alias("_b"), F.col(left_time).alias("_t"), none.cast(a.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_l"))
+    # By range, rows of one time are peers of the mark at it, whatever their order.
+    past = Window.partitionBy("_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_b").orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    # Along each way the nearest mark is the one of the largest, or the smallest, time.
+    met = a.unionByName(b).withColumns({"_p": F.max("_v").over(past), "_n": F.min("_v").over(ahead)}).where(F.col("_l").isNotNull())
+    far = lambda c: F.abs(F.col("_t") - F.col(f"{c}._m"))
+    found = met.withColumn("_w", F.when(F.col("_n").isNull() | (far("_p") <= far("_n")), F.col("_p")).otherwise(F.col("_n")))
+    return found.where(far("_w") <= reach).select("_l.*", F.col("_w._m").alias(right_time), F.col("_w._i").alias(key), far("_w").alias(out))
+
+
 def away_from(rows: DataFrame, events: DataFrame, time: str, event_time: str, reach: int, by: str = "symbol") -> DataFrame:
     """rows farther than reach from every event of their key: by the last event before and the first after."""
     marks = events.select(F.col(by), F.col(event_time).alias("_e"))

@@ -55,10 +55,10 @@ BIG_SQL = f"SELECT symbol, event_id, t FROM ({TICKS}) WHERE value >= {BIG}"
 
 def nearest_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest purchase within two hours of each big event of the other types."""
-    a = big(spark, sf_dir).where("symbol <> 'purchase'").withColumn("k", F.lit(1))
-    b = big(spark, sf_dir).where("symbol = 'purchase'").select(F.lit(1).alias("k"), F.col("event_id").alias("near_id"), F.col("t").alias("near_t"))
-    pairs = J.within(a, b, "t", "near_t", 2 * HOUR, 2 * HOUR, by="k").withColumn("distance", F.abs(F.col("t") - F.col("near_t")))
-    return J.nearest(pairs, ["event_id"], "distance", ["near_t", "near_id"]).select("event_id", "near_id", "distance")
+    a = big(spark, sf_dir).where("symbol <> 'purchase'")
+    b = big(spark, sf_dir).where("symbol = 'purchase'").select(F.col("event_id").alias("near_id"), F.col("t").alias("near_t"))
+    met = J.nearest_time(a, b, "t", "near_t", 2 * HOUR, "near_id")
+    return J.nearest(met, ["event_id"], "distance", ["near_t", "near_id"]).select("event_id", "near_id", "distance")
 
 
 NEAREST_SQL = f"""WITH e AS ({BIG_SQL}) SELECT a.event_id, b.event_id AS near_id, abs(a.t - b.t) AS distance FROM e a JOIN e b ON a.symbol <> 'purchase' AND b.symbol = 'purchase' AND b.t BETWEEN a.t - 7200 AND a.t + 7200
