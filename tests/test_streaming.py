@@ -3,6 +3,9 @@
 import random
 from datetime import datetime, timedelta, timezone
 from functools import partial
+from types import SimpleNamespace
+
+import pandas as pd
 
 from tidemark.operators import machines as M
 from tidemark.streaming import replay as R
@@ -45,3 +48,55 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     odd = sorted((r.kind, r.symbol) for r in found if r.kind != "ROW")
     # Held rows tell equal ones from others; had the first been let go by then, Spark's watermark would have dropped the second.
     assert odd == [("CONFLICT", other[1]), ("DUPLICATE", again[1])]
+
+
+class Fake:
+    """State and timers of one key in memory, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.map, self.values, self.timers = 0, {}, {}, set()
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return SimpleNamespace(containsKey=self.has, getValue=lambda k: self.map[k], updateValue=self.put, removeKey=self.drop, keys=lambda: iter(list(self.map)))
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return SimpleNamespace(exists=lambda: name in self.values, get=lambda: self.values[name], update=lambda v: self.values.update({name: v}), clear=lambda: self.values.pop(name, None))
+
+    def has(self, k):
+        self.calls += 1
+        return k in self.map
+
+    def put(self, k, v):
+        self.calls += 1
+        self.map[k] = v
+
+    def drop(self, k):
+        self.calls += 1
+        del self.map[k]
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.timers.discard(ms)
+
+
+def test_state_is_called_by_slices_not_by_rows():
+    fake = Fake()
+    p = R.InOrder(["k", "ts", "id", "close", "atr"], "ts", "id", partial(M.MoveAge, 1.0), ["t", "side", "age", "extreme"])
+    p.init(fake)
+    rng = random.Random(4)
+    rows = [("a", pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randrange(6 * 3600)), k, rng.gauss(0, 3), 1.0) for k in range(4000)]
+    frame = pd.DataFrame(rows, columns=["k", "ts", "id", "close", "atr"])
+    assert not list(p.handleInputRows(("a",), iter([frame[:1500], frame[1500:]]), None))
+    assert fake.timers == {int(frame.ts.min().value // 10**6)}
+    got, marks = [], [int(pd.Timestamp(f"2024-01-01 0{h}:30").value // 10**6) for h in (2, 4)] + [2**50]
+    for ms in marks:
+        fake.timers.clear()
+        passed = SimpleNamespace(getCurrentWatermarkInMs=lambda ms=ms: ms)
+        got += [r for f in p.handleExpiredTimer(("a",), passed, None) for r in f.itertuples(index=False, name=None)]
+        left = [int(r[1].value // 10**6) for r in rows if int(r[1].value // 10**6) > ms]
+        assert fake.timers == ({min(left)} if left else set())
+    kernel = M.MoveAge(1.0)
+    want = [("a", "ROW", us, i, *made) for us, i, x in sorted((int(r[1].value // 1000), r[2], r[3]) for r in rows) for made in kernel.step({"t": us, "close": x, "atr": 1.0})]
+    assert got == want and not fake.map and fake.calls < 100

@@ -6,6 +6,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from pyspark.sql.types import BinaryType, LongType, StructType, _parse_datatype_
 from tidemark.operators.lineage import shared_folder
 from tidemark.sources.bars import HOUR
 
+#: Microseconds of a slice of held rows, and rows that are gathered before the slices they belong to are written.
+SLICE, WAITING = HOUR * 1_000_000, 200_000
+
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """(symbol, event_id, ts, value) from a folder of Parquet files of events."""
@@ -62,16 +66,18 @@ def machine(stream: DataFrame, key: str, kernel: Callable[[], object], schema: s
 class InOrder(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them and then gives them to the kernel in order.
 
-    State: the held rows by their place (time, tie), the kernel, and the time of the one timer that is set, that of
-    the earliest held row. A row whose place is held already is a DUPLICATE if it is equal, else a CONFLICT; the
-    first to arrive counts. Rows behind the watermark never get here: Spark drops them."""
+    State: the held rows by their place (time, tie) in slices of time, the kernel, and the time of the one timer that is
+    set, that of the earliest held row. A slice is read and written as one value, for many rows at a time. A row whose
+    place is held already is a DUPLICATE if it is equal, else a CONFLICT; the first to arrive counts. Rows behind the
+    watermark never get here: Spark drops them."""
 
     def __init__(self, columns: list[str], time: str, tie: str, kernel: Callable[[], object], out: list[str]) -> None:
         self.columns, self.time, self.tie, self.kernel, self.out = columns, time, tie, kernel, out
+        self.kept = [c for c in columns if c != time]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", StructType().add("us", LongType()).add("tie", LongType()), StructType().add("row", BinaryType()))
+        self.held = handle.getMapState("held", StructType().add("slice", LongType()), StructType().add("rows", BinaryType()))
         self.machine = handle.getValueState("machine", StructType().add("kernel", BinaryType()))
         self.timer = handle.getValueState("timer", StructType().add("ms", LongType()))
 
@@ -90,37 +96,59 @@ class InOrder(StatefulProcessor):
     def frame(self, rows: list[tuple], key: str) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[key, "kind", "us", "tie", *self.out]).astype({"us": "int64", "tie": "int64"})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        for batch in rows:
-            odd = []
-            for r in batch[self.columns].itertuples(index=False, name=None):
-                row = dict(zip(self.columns, r, strict=True))
-                us = int(pd.Timestamp(row.pop(self.time)).value // 1000)
-                place, packed = (us, int(row.get(self.tie, 0)) if self.tie else 0), pickle.dumps(sorted(row.items()))
-                if not self.held.containsKey(place):
-                    self.held.updateValue(place, (packed,))
-                    self.wait_for(us)
+    def rows_of(self, part: int) -> dict[tuple[int, int], tuple]:
+        """The held rows of a slice by place."""
+        return pickle.loads(self.held.getValue((part,))[0]) if self.held.containsKey((part,)) else {}  # noqa: S301  our own state
+
+    def hold(self, key: object, fresh: dict[int, list[tuple]]) -> list[tuple]:
+        """Holds rows by slice, and tells those whose place is taken."""
+        odd = []
+        for part, arrived in fresh.items():
+            rows = self.rows_of(part)
+            for place, row in arrived:
+                if place not in rows:
+                    rows[place] = row
                 else:
-                    odd.append(self.told(key[0], "DUPLICATE" if bytes(self.held.getValue(place)[0]) == packed else "CONFLICT", *place))
-            if odd:
-                yield self.frame(odd, self.columns[0])
+                    odd.append(self.told(key, "DUPLICATE" if repr(rows[place]) == repr(row) else "CONFLICT", *place))
+            self.held.updateValue((part,), (pickle.dumps(rows),))
+        if fresh:
+            self.wait_for(min(place[0] for place, _ in fresh[min(fresh)]))
+        return odd
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        fresh: dict[int, list[tuple]] = {}
+        waiting = 0
+        for batch in chain(rows, [None]):
+            if batch is not None:
+                times = (batch[self.time].astype("datetime64[ns]").astype("int64") // 1000).tolist()
+                ties = batch[self.tie].tolist() if self.tie else repeat(0)
+                for us, tie, *row in zip(times, ties, *[batch[c] for c in self.kept]):
+                    fresh.setdefault(us // SLICE, []).append(((us, int(tie)), tuple(row)))
+                waiting += len(batch)
+            if batch is None or waiting >= WAITING:
+                if odd := self.hold(key[0], fresh):
+                    yield self.frame(odd, self.columns[0])
+                fresh, waiting = {}, 0
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        # What the watermark has passed is bounded by its delay and the batch, not by the key's history.
-        places = sorted((int(p[0]), int(p[1])) for p in self.held.keys())  # noqa: SIM118
-        ready = [p for p in places if p[0] // 1000 <= passed]
-        machine, out = pickle.loads(self.machine.get()[0]) if self.machine.exists() else self.kernel(), []  # noqa: S301  our own state
-        for place in ready:
-            row = dict(pickle.loads(self.held.getValue(place)[0]))  # noqa: S301  our own state
-            out += [self.told(key[0], "ROW", *place, made) for made in machine.step(row | {"t": place[0]})]
-            self.held.removeKey(place)
+        machine = pickle.loads(self.machine.get()[0]) if self.machine.exists() else self.kernel()  # noqa: S301  our own state
+        for part in sorted(int(k[0]) for k in self.held.keys()):  # noqa: SIM118
+            rows, out = self.rows_of(part), []
+            ready = sorted(p for p in rows if p[0] // 1000 <= passed)
+            for place in ready:
+                row = dict(zip(self.kept, rows.pop(place), strict=True))
+                out += [self.told(key[0], "ROW", *place, made) for made in machine.step(row | {"t": place[0]})]
+            if out:
+                yield self.frame(out, self.columns[0])
+            if rows:  # later slices wait as well
+                if ready:
+                    self.held.updateValue((part,), (pickle.dumps(rows),))
+                self.wait_for(min(rows)[0])
+                break
+            self.held.removeKey((part,))
         self.machine.update((pickle.dumps(machine),))
-        if len(places) > len(ready):
-            self.wait_for(places[len(ready)][0])
-        if out:
-            yield self.frame(out, self.columns[0])
 
     def close(self) -> None:
         pass
