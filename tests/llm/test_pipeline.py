@@ -48,3 +48,16 @@ def test_extra_columns_with_clashing_names_stay(spark):
         assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra), name
     last = P.token_ids(spark, docs.selectExpr("*", "1 AS ids", "2 AS decoded", "3 AS round_trip"), d)
     assert sorted(last.columns) == sorted([*docs.columns, "ids", "n_tokens", "round_trip"]) and all(r.round_trip is True for r in last.collect())
+
+
+def test_shuffle_files_go_with_their_job_and_the_session_keeps_its_setting(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get(P.CLEANUP))
+        return docs
+
+    monkeypatch.setattr(P, "STAGES", [("one", stage), ("two", stage)])
+    before = spark.conf.get(P.CLEANUP, "false")
+    assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == ["true", "true"] and spark.conf.get(P.CLEANUP) == before
