@@ -76,3 +76,20 @@ def test_nulls_ties_extra_columns_and_empty(spark):
     assert kept == [(1, "a b c", 3), (3, "", 1), (None, "z y x w", 4)]
     assert S.clusters(docs.where("false")).count() == 0
     assert S.keep_one(docs.where("false")).count() == 0
+
+
+def test_steps_of_small_graphs_run_in_few_tasks_and_stop_at_stars(spark, monkeypatch):
+    sizes, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: (sizes.append((out := cut(df)).rdd.getNumPartitions()), out)[1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        star = spark.createDataFrame([(0, k) for k in range(1, 60)], "a long, b long")
+        chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(7, 7)], "a long, b long")
+        for edges, n in ((star, 60), (chain, 61)):
+            assert {(r.node, r.component) for r in S.components(edges).collect()} == {(k, 0) for k in range(1, n)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes[:2] == [23, 23] and len(sizes) < 9 and max(sizes[2:]) <= 4

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, table
+from tidemark.llm.common import cut, free_name, table, tasks_for
 
 #: Bits that may differ between linked fingerprints. The key scheme holds for up to 2.
 MAX_BITS = 2
@@ -44,6 +44,8 @@ MAX_BITS = 2
 CROWD = 64
 SEED = 42
 CHUNK = 1 << 14
+#: Edges that a task of components() takes.
+TASK_EDGES = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -143,22 +145,33 @@ def neighbour_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach. Alternating large and small
-    stars: every step keeps the closure, and the number of steps grows with the log of the longest path."""
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    stars: every step keeps the closure, and the number of steps grows with the log of the longest path.
+    No step adds edges, so each runs in as many tasks as the edges left need."""
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    n = now.count()
     while True:
-        around = both(now)
-        low = around.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = around.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = cut(moved.where("a != b").distinct())
-        state = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if state == before:
-            break
-        before = state
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        tasks = tasks_for(n, TASK_EDGES)
+        n, open_ = unfinished(now := now.coalesce(tasks), tasks)
+        if not open_:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now = cut(star_step(now, tasks))
+
+
+def unfinished(edges: DataFrame, tasks: int) -> tuple[int, int]:
+    """Edges (a, b), a over b, and nodes at which they are not yet stars around the smallest node."""
+    ends = F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("up")), F.struct(F.col("b").alias("u"), F.lit(0).alias("up")))
+    around = edges.select(F.inline(ends)).groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).coalesce(tasks)
+    got = around.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 0) & (F.col("n") > 1))).first()
+    return got[0], got[1]
+
+
+def star_step(edges: DataFrame, tasks: int) -> DataFrame:
+    """A large and a small star of edges (a, b), a over b."""
+    low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    large = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+    small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+    moved = large.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return moved.where("a != b").coalesce(tasks).distinct().coalesce(tasks)
 
 
 #: Stand-ins for null ids lie above all ids.
